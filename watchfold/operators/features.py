@@ -27,7 +27,7 @@ HOUR_SLOTS = WINDOW_1H // SLOT
 OWN, PREVIOUS, HOUR_AGO = 0, 1, 2
 
 
-def feature_rows(events: DataFrame, *carry: str) -> DataFrame:
+def feature_rows(events: DataFrame, *carry: str | Column) -> DataFrame:
     """The narrow columns the features need; ``carry`` columns travel along unchanged."""
     lat, lon = latitude(), longitude()
     located = lat.isNotNull() & lon.isNotNull()
@@ -187,7 +187,7 @@ def with_tod_zscore(rows: DataFrame) -> DataFrame:
     return ranked.select(*rows.columns, F.when(d > 0, z).otherwise(0.0).alias("tod_zscore"))
 
 
-def extract_features(events: DataFrame, *carry: str) -> DataFrame:
+def extract_features(events: DataFrame, *carry: str | Column) -> DataFrame:
     """id, entity, us, ``carry`` and the nine features of every event."""
     rows = feature_rows(events, *carry)
     return entity_features(with_tod_zscore(rows), rows)

@@ -47,7 +47,7 @@ def as_security_events(acts: DataFrame) -> DataFrame:
         "event.action": e("case event_type when 'error' then 'ssh_login_failed' when 'signup' then "
                           "'ssh_login_success' when 'click' then 'sudo_command' else 'network_flow' end"),
         "event.outcome": e("case when event_type = 'error' then 'failure' else 'success' end"),
-        "source.ip": e("case user_id % 5 when 0 then '10.1.0.7' when 1 then '172.20.4.9' "
+        "source.ip": e("case user_id % 5 when 0 then '10.1.0.7' when 1 then '172.200.4.9' "
                        "when 2 then '203.0.113.44' when 3 then null else '' end"),
         "source.geo.location.lat": e("case when event_id % 3 = 0 then -60.0D + 20 * (event_id % 7) end"),
         "source.geo.location.lon": e("case when event_id % 3 = 0 then -150.0D + 30 * (event_id % 11) end"),
@@ -71,4 +71,4 @@ def as_security_events(acts: DataFrame) -> DataFrame:
                           "when 1 then 'powershell.exe' else 'notepad.exe' end end"),
         "ts_fallback": F.lit(False),
     }
-    return acts.select(*event_columns(values), e("round(least(value / 120.0D, 1.0D), 4)").alias("anomaly_score"))
+    return acts.select(*event_columns(values), e("least(cast(round(value * 100) as bigint) * 5 div 6, 10000L) / 10000.0D").alias("anomaly_score"))

@@ -6,7 +6,7 @@ ev AS (
   SELECT event_id, user_id, event_type, value,
     CAST(json_extract(props, '$.k') AS INTEGER) AS k,
     1704067200000000 + (epoch_us(ts) - 1704067200000000) // 60 AS us,
-    CASE user_id % 5 WHEN 0 THEN '10.1.0.7' WHEN 1 THEN '172.20.4.9' WHEN 2 THEN '203.0.113.44'
+    CASE user_id % 5 WHEN 0 THEN '10.1.0.7' WHEN 1 THEN '172.200.4.9' WHEN 2 THEN '203.0.113.44'
       WHEN 3 THEN NULL ELSE '' END AS src_ip,
     CASE user_id % 5 WHEN 3 THEN 'svc-backup' WHEN 4 THEN NULL
       ELSE CASE WHEN user_id % 2 = 0 THEN 'root' ELSE 'alice' END END AS user_name,
@@ -21,7 +21,7 @@ ev AS (
     CAST(floor(value * 1e6) AS BIGINT) AS nbytes,
     CASE event_id % 4 WHEN 0 THEN 'syslog' WHEN 1 THEN 'auth_log' WHEN 2 THEN 'cloudtrail'
       ELSE 'cicids' END AS source_type,
-    round(least(value / 120.0, 1.0), 4) AS score
+    least(CAST(round(value * 100) AS BIGINT) * 5 // 6, 10000) / 10000.0 AS score
   FROM events),
 e AS (
   SELECT *,
