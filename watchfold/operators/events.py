@@ -40,9 +40,21 @@ def event_columns(values: dict[str, Column]) -> list[Column]:
     return out
 
 
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections cannot expand again.
+
+    Catalyst substitutes column definitions into filters it pushes down. For columns built from
+    regular expressions that multiplies their work, so they pass through a one-row generator,
+    which predicates on its output do not cross.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def with_custody_hash(events: DataFrame, skip: Column | None = None) -> DataFrame:
     """Fill ``related.hash`` with the SHA-256 of the event without its id and hash."""
-    body = F.to_json(F.struct("timestamp", "event", "source", "destination", "user", "host", "log"))
+    event = F.col("event").dropFields("id").alias("event")
+    body = F.to_json(F.struct("timestamp", event, "source", "destination", "user", "host", "log"))
     digest = F.concat(F.lit("sha256:"), F.sha2(body, 256))
     if skip is not None:
         digest = F.when(~skip, digest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .events import event_columns, filled_time, with_custody_hash
+from .events import evaluated_once, event_columns, filled_time, with_custody_hash
 from .normalize_text import iso_clock_time, with_line_id
 
 RECORD = ("eventTime string, eventSource string, eventName string, sourceIPAddress string, "
@@ -42,7 +42,7 @@ def lookup(table: dict, key: Column, index: int) -> Column:
 def parsed_records(lines: DataFrame) -> DataFrame:
     """Add ``rec``; ``bad`` marks lines that are not a JSON object."""
     rec = F.from_json("raw", RECORD, {"columnNameOfCorruptRecord": "_corrupt"})
-    df = with_line_id(lines).withColumn("raw", F.trim("raw")).withColumn("rec", rec)
+    df = evaluated_once(with_line_id(lines).withColumn("raw", F.trim("raw")), rec=rec)
     bad = F.col("rec._corrupt").isNotNull() | ~F.col("raw").startswith("{")
     return df.withColumn("bad", F.coalesce(bad, F.lit(True)))
 

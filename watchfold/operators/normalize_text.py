@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import blank_to_null
-from .events import event_columns, filled_time, with_custody_hash
+from .events import evaluated_once, event_columns, filled_time, with_custody_hash
 
 # Line formats, fixed values. (?s): the text after the header is kept whole; (?U): letters,
 # digits and spaces of any script.
@@ -49,12 +49,11 @@ def _header(lines: DataFrame, year, rfc5424: bool) -> DataFrame:
     year = F.year(F.current_date()) if year is None else F.lit(year)
     trimmed = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
     df = with_line_id(lines).withColumn("raw", trimmed)
-    stamp = group(F.col("raw"), BSD_LINE, 1)
-    df = df.withColumn("_stamp", stamp)
+    df = evaluated_once(df, _stamp=group(F.col("raw"), BSD_LINE, 1))
     bsd = F.col("_stamp").isNotNull()
     rfc = F.lit(False)
     if rfc5424:
-        df = df.withColumn("_iso", F.when(~bsd, group(F.col("raw"), RFC5424_LINE, 1)))
+        df = evaluated_once(df, _iso=F.when(~bsd, group(F.col("raw"), RFC5424_LINE, 1)))
         rfc = F.col("_iso").isNotNull()
 
     def pick(bsd_group: int, rfc_group: int, default: Column) -> Column:
@@ -66,10 +65,8 @@ def _header(lines: DataFrame, year, rfc5424: bool) -> DataFrame:
     time = bsd_time(F.col("_stamp"), year)
     if rfc5424:
         time = F.coalesce(time, iso_clock_time(F.col("_iso")))
-    return (df.withColumn("_host", pick(2, 2, F.lit("unknown")))
-              .withColumn("_program", pick(3, 3, F.lit("unknown")))
-              .withColumn("_message", pick(4, 4, F.col("raw")))
-              .withColumn("_time", time))
+    return evaluated_once(df, _host=pick(2, 2, F.lit("unknown")), _program=pick(3, 3, F.lit("unknown")),
+                          _message=pick(4, 4, F.col("raw")), _time=time)
 
 
 def _strings(*names: str) -> Column:
@@ -93,8 +90,8 @@ def _event(df: DataFrame, source_type: str, ctx: dict[str, Column], ingest_time)
 def normalize_syslog(lines: DataFrame, year: int | None = None, ingest_time=None) -> DataFrame:
     df = _header(lines, year, rfc5424=True)
     m = F.col("_message")
-    df = df.withColumn("_kind", F.when(m.rlike(SSH_FAILED), "failed")
-                       .when(m.rlike(SSH_ACCEPTED), "accepted"))
+    df = evaluated_once(df, _kind=F.when(m.rlike(SSH_FAILED), "failed")
+                        .when(m.rlike(SSH_ACCEPTED), "accepted"))
     failed, accepted = F.col("_kind") == "failed", F.col("_kind") == "accepted"
 
     def part(i: int) -> Column:
@@ -122,7 +119,7 @@ def normalize_auth_log(lines: DataFrame, year: int | None = None, ingest_time=No
             .when(m.rlike(PAM_FAILURE), "pam_auth_failure")
             .when(F.upper("_program").contains("CRON"), "cron_session")
             .otherwise("auth_event"))
-    df = df.withColumn("_action", kind)
+    df = evaluated_once(df, _action=kind)
     a = F.col("_action")
     su = a.startswith("su_session_")
     user = (F.when(a == "ssh_login_failed", group(m, SSH_FAILED, 1))

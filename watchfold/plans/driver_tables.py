@@ -26,8 +26,8 @@ def activity_columns(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.expr("0L").alias("_z"), us.alias("_us"),
-    ).withColumn("us", F.expr(f"{BASE_US}L + (_us - {BASE_US}L) div 60L")).drop("_z", "_us")
+        us.alias("raw_us"),
+    ).withColumn("us", F.expr(f"{BASE_US}L + (raw_us - {BASE_US}L) div 60L"))
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ and the definitions of the operators independently of how the operators compute
 
 EV = """
 ev AS (
-  SELECT event_id, user_id, event_type, value,
+  SELECT event_id, user_id, event_type, value, ts, epoch_us(ts) AS raw_us,
     CAST(json_extract(props, '$.k') AS INTEGER) AS k,
     1704067200000000 + (epoch_us(ts) - 1704067200000000) // 60 AS us,
     CASE user_id % 5 WHEN 0 THEN '10.1.0.7' WHEN 1 THEN '172.200.4.9' WHEN 2 THEN '203.0.113.44'
