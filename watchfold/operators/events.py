@@ -78,4 +78,4 @@ def contract_violations(events: DataFrame) -> DataFrame:
         "hash": F.coalesce(F.col("related.hash").startswith("sha256:"), F.lit(False)),
     }
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
-    return events.withColumn("failed_rules", failed).filter(F.size("failed_rules") > 0)
+    return evaluated_once(events, failed_rules=failed).filter(F.size("failed_rules") > 0)

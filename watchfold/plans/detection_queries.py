@@ -17,7 +17,9 @@ from .detection import anomalies, contexts, triaged_clusters
 from .driver_tables import security_events
 from .reference_sql import EV, NINE
 
-EVENT_ID = F.col("id").cast("bigint").alias("event_id")
+
+def event_id():
+    return F.col("id").cast("bigint").alias("event_id")
 
 
 def scored_contexts(spark, sf, **kw):
@@ -31,7 +33,7 @@ def usable_rules(spark):
 def context_query(spark, sf):
     c = scored_contexts(spark, sf)
     flags = ["source_is_internal", "dest_is_internal", "dest_is_external"]
-    return c.select(EVENT_ID, "event_type", "action", "dest_port", *[F.col(f).cast("int").alias(f) for f in flags],
+    return c.select(event_id(), "event_type", "action", "dest_port", *[F.col(f).cast("int").alias(f) for f in flags],
                     "anomaly_score", "command_line", "user", "api_call", "parent_process", "process",
                     *[F.col(f).cast("bigint").alias(f) for f in
                       ["event_count_1m", "event_count_5m", "distinct_dest_ports", "dest_ip_fanout",
@@ -52,17 +54,17 @@ def internal_addresses(spark, sf):
 
 def matches_query(spark, sf):
     m = rule_matches(scored_contexts(spark, sf), usable_rules(spark), "id")
-    return m.select(EVENT_ID, "ordinal", "rule_id", "technique_id", "tactic")
+    return m.select(event_id(), "ordinal", "rule_id", "technique_id", "tactic")
 
 
 def candidates_query(spark, sf):
     c = with_candidates(scored_contexts(spark, sf), usable_rules(spark))
-    return c.select(EVENT_ID, F.array_join("technique_ids", ",").alias("candidates"))
+    return c.select(event_id(), F.array_join("technique_ids", ",").alias("candidates"))
 
 
 def technique_query(spark, sf):
     t = with_technique(scored_contexts(spark, sf), usable_rules(spark))
-    return t.select(EVENT_ID, "technique_id")
+    return t.select(event_id(), "technique_id")
 
 
 def metadata_query(spark, sf):
@@ -104,7 +106,7 @@ def largest_cluster_members(spark, sf):
     keyed = events.withColumn("bucket", epoch_bucket("us"))
     top = largest_first(cluster_events(events)).limit(1).select("entity", "technique_id", "bucket")
     return keyed.join(F.broadcast(top), ["entity", "technique_id", "bucket"], "left_semi").select(
-        EVENT_ID, "entity", "technique_id", "bucket")
+        event_id(), "entity", "technique_id", "bucket")
 
 
 def triage_query(spark, sf):
@@ -123,7 +125,7 @@ def titles_query(spark, sf):
 def bands_query(spark, sf):
     s = F.col("anomaly_score")
     return security_events(spark, sf).select(
-        EVENT_ID, severity_band(s).alias("severity"), confidence(s).alias("confidence"))
+        event_id(), severity_band(s).alias("severity"), confidence(s).alias("confidence"))
 
 
 def actions_query(spark, sf):
@@ -138,13 +140,13 @@ def top3_query(spark, sf):
     c = c.withColumn("tod_zscore", F.round("tod_zscore", 4)).withColumn(
         "geo_velocity_kmh", F.round("geo_velocity_kmh", 4))
     best = top_features()
-    return c.select(EVENT_ID, F.array_join(F.transform(best, lambda f: f["name"]), ",").alias("names"),
+    return c.select(event_id(), F.array_join(F.transform(best, lambda f: f["name"]), ",").alias("names"),
                     F.round(best[0]["value"], 3).alias("first_value"))
 
 
 def entity_keys(spark, sf):
     from ..functions.keys import entity_feature
-    return security_events(spark, sf).select(EVENT_ID, entity_feature().alias("entity"),
+    return security_events(spark, sf).select(event_id(), entity_feature().alias("entity"),
                                              entity_cluster().alias("entity2"))
 
 
@@ -156,7 +158,7 @@ def clock_buckets(spark, sf):
 
 def positional_contexts(spark, sf):
     """Events by position against a context list that is half as long."""
-    events = security_events(spark, sf).select(EVENT_ID, F.col("id").cast("bigint").alias("position"))
+    events = security_events(spark, sf).select(event_id(), F.col("id").cast("bigint").alias("position"))
     shorter = security_events(spark, sf).select(
         (F.col("id").cast("bigint") * 2).alias("double"), F.col("id").cast("bigint").alias("position"),
         F.col("event.action").alias("context_action"))

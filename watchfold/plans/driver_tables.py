@@ -72,3 +72,49 @@ def as_security_events(acts: DataFrame) -> DataFrame:
         "ts_fallback": F.lit(False),
     }
     return acts.select(*event_columns(values), e("least(cast(round(value * 100) as bigint) * 5 div 6, 10000L) / 10000.0D").alias("anomaly_score"))
+
+
+TECHNIQUE_LIST = ["T1110.001", "T1110", "T1021.002", "T1021.001", "T1046", "T1498", "T1041", "T1078", "T1059.003"]
+
+
+def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as incidents."""
+    listed = ", ".join(f"'{t}'" for t in TECHNIQUE_LIST)
+    return table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as string) as id", "concat('c', o_custkey) as entity",
+        f"case when o_custkey % 10 < 9 then element_at(array({listed}), cast(1 + o_custkey % 10 as int)) end as technique",
+        "case o_orderpriority when '1-URGENT' then 'critical' when '2-HIGH' then 'high' when '3-MEDIUM' then 'medium' "
+        "when '5-LOW' then 'low' end as severity",
+        "case o_orderstatus when 'O' then 'open' when 'F' then 'resolved' else 'investigating' end as status",
+        "o_totalprice as confidence",
+        "cast(o_orderdate as timestamp) as created_at",
+        "cast(o_orderdate as timestamp) + make_dt_interval(0, 0, cast(o_custkey % 1440 as int)) as updated_at")
+
+
+def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as alerts of those incidents."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) as id",
+        "cast(l_orderkey as string) as incident_id",
+        "named_struct('ip', concat('10.', l_suppkey % 200, '.0.', l_linenumber), 'host', concat('Host-', l_partkey % 50), "
+        "'user', case when l_suppkey % 3 = 0 then concat('user', l_suppkey) end) as entity",
+        "case when round(l_tax * 100) = 8 then null when l_discount = 0 then 0D else l_quantity / 50 end as anomaly_score",
+        "case l_returnflag when 'A' then 'ack' when 'R' then 'closed' else case when l_linestatus = 'O' then 'new' end end as status",
+        "case when l_quantity >= 42 then 'critical' when l_quantity >= 35 then 'high' when l_quantity >= 25 then 'medium' else 'low' end as severity",
+        "case l_partkey % 3 when 0 then 'T1110.001' when 1 then 'T1046' else 'T1021' end as technique",
+        "cast(l_shipdate as timestamp) + make_dt_interval(0, 0, 0, cast((l_partkey * 37 + l_suppkey) % 86400 as int)) as created_at")
+
+
+def chat_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as ledger actions: one chain per conversation, in turn order."""
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "concat('inc_', conv_id) as incident_id", "role as action", "concat('actor', length(text)) as actor",
+        "concat('2024-01-01T00:00:0', turn) as timestamp", "turn")
+
+
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as a log of model calls, with latency and decimal cost."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id", "cast(o_orderdate as timestamp) as called_at",
+        "cast(o_custkey * 7 % 5000 as int) as latency_ms", "cast(1 + o_orderkey % 5 as int) as cluster_size",
+        "cast(cast(round(o_totalprice * 100) as bigint) / 1000000000BD as decimal(20, 9)) as cost_usd")

@@ -10,37 +10,38 @@ from ..schema import FEATURES
 from .driver_tables import security_events
 from .reference_sql import EV, GEO, NINE, TOD, WINDOWED
 
-EVENT_ID = F.col("id").cast("bigint").alias("event_id")
+def event_id():
+    return F.col("id").cast("bigint").alias("event_id")
 
 
 def all_features(spark, sf):
     f = extract_features(security_events(spark, sf))
-    return f.select(EVENT_ID, "entity", *[F.round(c, 4).alias(c) for c in FEATURES])
+    return f.select(event_id(), "entity", *[F.round(c, 4).alias(c) for c in FEATURES])
 
 
 def event_counts(spark, sf):
     f = entity_features(feature_rows(security_events(spark, sf)))
-    return f.select(EVENT_ID, "entity", *[F.col(c).cast("bigint").alias(c) for c in FEATURES[:3]])
+    return f.select(event_id(), "entity", *[F.col(c).cast("bigint").alias(c) for c in FEATURES[:3]])
 
 
 def failed_ratio(spark, sf):
     f = entity_features(feature_rows(security_events(spark, sf)))
-    return f.select(EVENT_ID, F.round("failed_auth_ratio", 6).alias("failed_auth_ratio"))
+    return f.select(event_id(), F.round("failed_auth_ratio", 6).alias("failed_auth_ratio"))
 
 
 def bucket_spread(spark, sf):
     f = entity_features(feature_rows(security_events(spark, sf)))
-    return f.select(EVENT_ID, *[F.col(c).cast("bigint").alias(c) for c in FEATURES[4:7]])
+    return f.select(event_id(), *[F.col(c).cast("bigint").alias(c) for c in FEATURES[4:7]])
 
 
 def tod_zscore(spark, sf):
     z = with_tod_zscore(feature_rows(security_events(spark, sf)))
-    return z.select(EVENT_ID, F.round("tod_zscore", 4).alias("tod_zscore"))
+    return z.select(event_id(), F.round("tod_zscore", 4).alias("tod_zscore"))
 
 
 def geo_velocity(spark, sf):
     f = entity_features(feature_rows(security_events(spark, sf)))
-    return f.select(EVENT_ID, F.round("geo_velocity_kmh", 4).alias("geo_velocity_kmh"))
+    return f.select(event_id(), F.round("geo_velocity_kmh", 4).alias("geo_velocity_kmh"))
 
 
 def sliding_counts(spark, sf):
