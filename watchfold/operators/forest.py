@@ -64,6 +64,8 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
             continue
         feature = int(rng.choice(usable))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # low and high are neighbouring doubles
+            threshold = float(low[feature])
         left = part[:, feature] <= threshold
         nodes[here][1], nodes[here][2] = feature, threshold
         stack.append((rows[~left], depth + 1, here, 4))

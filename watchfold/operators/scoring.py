@@ -61,15 +61,15 @@ def score(features: DataFrame, model: Model, scale: bool = True) -> DataFrame:
     Both models run in one Arrow pass; everything after it is native. The broadcast model has a
     fixed size: 200 trees of at most 511 nodes, and 1,969 weights.
     """
-    shared = features.sparkSession.sparkContext.broadcast(model)
+    shared = features.sparkSession.sparkContext.broadcast((model.forest, model.weights))
     divisor = np.array([model.maxima.get(c) or 0.0 for c in FEATURES])
     divisor = np.where(divisor > 0, divisor, 1.0) if scale else np.ones(len(FEATURES))
 
     @F.pandas_udf("forest double, errors array<double>")
     def both(*cols: pd.Series) -> pd.DataFrame:
-        m = shared.value
+        forest, weights = shared.value
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols]) / divisor
-        return pd.DataFrame({"forest": anomaly(x, m.forest), "errors": list(squared_errors(x, m.weights))})
+        return pd.DataFrame({"forest": anomaly(x, forest), "errors": list(squared_errors(x, weights))})
 
     scored = features.withColumn("_m", both(*FEATURES)).withColumns({
         "forest_raw": F.col("_m.forest"), "recon_errors": F.col("_m.errors")}).drop("_m")
