@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km, latitude, longitude, speed_kmh
 from ..functions.keys import entity_feature, epoch_bucket, event_micros, tie_breaker
 from ..settings import MICROS, WINDOW_1H, WINDOW_1M, WINDOW_5M
+from .ranks import salted_join
 
 SLOT = WINDOW_5M
 HOUR_SLOTS = WINDOW_1H // SLOT
@@ -79,11 +80,12 @@ def _with_context(rows: DataFrame) -> DataFrame:
     return out.select(*cols, "kind", F.col("_at").alias("slot"), "t")
 
 
-def entity_features(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def entity_features(rows: DataFrame, base: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """Add the eight per-entity features to ``feature_rows`` output.
 
     ``base`` gives the same events without added columns, so that the slot table does not repeat
-    the work behind them.
+    the work behind them. ``places`` (entity, known_place) gives the last located event of an
+    entity before all of these rows.
     """
     own = F.col("kind") == OWN
     near = F.col("kind") != HOUR_AGO
@@ -134,7 +136,12 @@ def entity_features(rows: DataFrame, base: DataFrame | None = None) -> DataFrame
 
     joined = counted.join(slot_table(rows if base is None else base), group, "left")
     c5m = F.col("seen") - F.col("gone_5m")
-    place = F.coalesce("place_in_slot", "place_before")
+    before_slot = F.coalesce("place_in_slot", "place_before")
+    if places is not None:
+        joined = salted_join(joined, places, "entity", spread="tie")
+        before_slot = F.coalesce(before_slot, "known_place")
+    joined = joined.withColumn("place", before_slot)
+    place = F.col("place")
     km = haversine_km(place["lat"], place["lon"], F.col("lat"), F.col("lon"))
     speed = F.when(F.col("lat").isNotNull() & place.isNotNull(), speed_kmh(km, F.col("us") - place["us"]))
     carried = [c for c in rows.columns if c not in
@@ -149,7 +156,46 @@ def entity_features(rows: DataFrame, base: DataFrame | None = None) -> DataFrame
         F.coalesce(speed, F.lit(0.0)).alias("geo_velocity_kmh"))
 
 
-def hour_offsets(rows: DataFrame) -> DataFrame:
+def hour_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events per second, and per calendar hour."""
+    per_second = rows.groupBy(epoch_bucket("us", 1).alias("sec")).agg(F.count(F.lit(1)).alias("n"))
+    per_second = per_second.withColumn("hour", F.call_function(
+        "div", F.col("sec") - F.pmod("sec", F.lit(3600)), F.lit(3600)))
+    hours = per_second.groupBy("hour").agg(F.sum("n").alias("c")).withColumn("hod", F.pmod("hour", F.lit(24)))
+    return per_second, hours
+
+
+NO_HISTORY = {"counts": [0.0] * 24, "d": 0.0}
+
+
+def hour_states(hours: DataFrame, start: dict = NO_HISTORY) -> DataFrame:
+    """(r0, n0, d0) at the start and the growth of every calendar hour, continuing ``start``.
+
+    One row per calendar hour, so these small windows do not grow with the event rate.
+    """
+    past = W.orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    past_hod = W.partitionBy("hod").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    first = F.get(F.array(*[F.lit(float(x)) for x in start["counts"]]), F.col("hod").cast("int"))
+    hours = hours.withColumns({
+        "r0": first + F.coalesce(F.sum("c").over(past_hod), F.lit(0)).cast("double"),
+        "n0": F.lit(float(sum(start["counts"]))) + F.coalesce(F.sum("c").over(past), F.lit(0)).cast("double")})
+    c = F.col("c").cast("double")
+    hours = hours.withColumn("grown", 2 * c * (24 * F.col("r0") - F.col("n0")) + 23 * c * c)
+    return hours.withColumn("d0", F.lit(float(start["d"])) + F.coalesce(F.sum("grown").over(past), F.lit(0.0)))
+
+
+def state_after(rows: DataFrame, start: dict = NO_HISTORY) -> dict:
+    """The 24 counters and D after these rows: 25 numbers, whatever the data."""
+    hours = hour_states(hour_totals(rows)[1], start)
+    totals = hours.groupBy("hod").agg(F.sum("c").alias("c"), F.sum("grown").alias("g")).collect()
+    counts, d = list(start["counts"]), float(start["d"])
+    for t in totals:
+        counts[t["hod"]] += float(t["c"])
+        d += t["g"]
+    return {"counts": counts, "d": d}
+
+
+def hour_offsets(rows: DataFrame, start: dict = NO_HISTORY) -> DataFrame:
     """Per second: its rank offset inside the calendar hour and the hour's running state.
 
     24 counters start at 1 and grow with each event. With rank r inside the hour of day and
@@ -157,30 +203,19 @@ def hour_offsets(rows: DataFrame) -> DataFrame:
     Over j more events in one hour of day, D grows by 2 j (24 r0 - n0) + 23 j^2, so the state
     at the start of an hour is (r0, n0, D0), from prefix sums over the hours.
     """
-    per_second = rows.groupBy(epoch_bucket("us", 1).alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    per_second = per_second.withColumn("hour", F.call_function(
-        "div", F.col("sec") - F.pmod("sec", F.lit(3600)), F.lit(3600)))
-    hours = per_second.groupBy("hour").agg(F.sum("n").alias("c")).withColumn(
-        "hod", F.pmod("hour", F.lit(24)))
-    # One row per calendar hour, so these two small windows do not grow with the data.
-    past = W.orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
-    past_hod = W.partitionBy("hod").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
-    hours = (hours.withColumn("r0", F.coalesce(F.sum("c").over(past_hod), F.lit(0)).cast("double"))
-                  .withColumn("n0", F.coalesce(F.sum("c").over(past), F.lit(0)).cast("double")))
-    c = F.col("c").cast("double")
-    grown = 2 * c * (24 * F.col("r0") - F.col("n0")) + 23 * c * c
-    hours = hours.withColumn("d0", F.coalesce(F.sum(grown).over(past), F.lit(0.0)))
+    per_second, hours = hour_totals(rows)
+    hours = hour_states(hours, start)
     in_hour = W.partitionBy("hour").orderBy("sec").rowsBetween(W.unboundedPreceding, -1)
     return (per_second.withColumn("j0", F.coalesce(F.sum("n").over(in_hour), F.lit(0)))
             .join(hours.select("hour", "r0", "n0", "d0"), "hour")
             .select("sec", "j0", "r0", "n0", "d0"))
 
 
-def with_tod_zscore(rows: DataFrame) -> DataFrame:
-    """Add the global running time-of-day z-score."""
+def with_tod_zscore(rows: DataFrame, start: dict = NO_HISTORY) -> DataFrame:
+    """Add the global running time-of-day z-score, continuing the counters of ``start``."""
     timed = rows.withColumn("sec", epoch_bucket("us", 1))
     w = W.partitionBy("sec").orderBy("us", "tie")
-    ranked = timed.withColumn("j", F.row_number().over(w)).join(hour_offsets(rows), "sec")
+    ranked = timed.withColumn("j", F.row_number().over(w)).join(hour_offsets(rows, start), "sec")
     j = (F.col("j0") + F.col("j")).cast("double")
     d = F.col("d0") + 2 * j * (24 * F.col("r0") - F.col("n0")) + 23 * j * j
     z = (24 * (F.col("r0") + j) - (F.col("n0") + j)) / F.sqrt(d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["feature_queries", "detection_queries", "source_queries", "incident_queries", "response_queries", "model_queries"]
+MODULES = ["feature_queries", "detection_queries", "source_queries", "incident_queries", "response_queries", "model_queries", "stream_queries"]
 
 
 def _collect(attribute: str) -> dict:
