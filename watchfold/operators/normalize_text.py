@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import blank_to_null
 from .events import evaluated_once, event_columns, filled_time, with_custody_hash
 
-# Line formats, fixed values. (?s): the text after the header is kept whole; (?U): letters,
-# digits and spaces of any script.
-BSD_LINE = (r"(?sU)^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[\d+\])?"
-            r"\s*:\s*(.*)$")
-RFC5424_LINE = (r"(?sU)^<\d{1,3}>(?:\d)?\s*(\S+)\s+(\S+)\s+(\S+)\s+\S+\s+\S+\s*(.*)$")
+# Line formats, fixed values; (?U): letters, digits and spaces of any script. The header patterns
+# end where the message starts, so they never run over the message.
+BSD_HEADER = r"(?U)^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[\d+\])?\s*:\s*"
+RFC5424_HEADER = r"(?U)^<\d{1,3}>(?:\d)?\s*(\S+)\s+(\S+)\s+(\S+)\s+\S+\s+\S+\s*"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# All characters that count as white space at the ends of a line, fixed values.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 SSH_FAILED = r"(?U)Failed password for (?:invalid user )?(\S+) from ([\d.]+) port (\d+)"
 SSH_ACCEPTED = r"(?U)Accepted (?:password|publickey) for (\S+) from ([\d.]+) port (\d+)"
 SSH_INVALID_USER = r"(?U)Invalid user (\S+) from ([\d.]+)"
@@ -24,18 +26,27 @@ SU_SESSION = r"(?U)pam_unix\(su(?:-l)?:session\):\s*session (opened|closed) for
 PAM_FAILURE = r"(?U)pam_unix\(\S+:auth\):\s*authentication failure.*?user=(\S+)"
 
 
-def group(text: Column, pattern: str, index: int) -> Column:
-    return blank_to_null(F.regexp_extract(text, pattern, index))
+def has(text: Column, word: str, pattern: str) -> Column:
+    """Pattern search that runs only where a word the pattern needs occurs."""
+    return text.contains(word) & text.rlike(pattern)
+
+
+def groups(text: Column, pattern: str, *indexes: int) -> Column:
+    """Array of groups of a pattern that is known to match."""
+    return F.array(*[F.regexp_extract(text, pattern, i) if i else F.lit(None).cast("string") for i in indexes])
 
 
 def with_line_id(lines: DataFrame) -> DataFrame:
     return lines if "line_id" in lines.columns else lines.withColumn("line_id", F.expr("uuid()"))
 
 
-def bsd_time(stamp: Column, year: Column) -> Column:
-    """'Mon d HH:MM:SS' carries no year, so the year is given; runs of spaces are one space."""
-    text = F.concat_ws(" ", year.cast("string"), F.regexp_replace(stamp, r"(?U)\s+", " "))
-    return F.when(stamp.isNotNull(), F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")))
+def bsd_time(parts: Column, year: Column) -> Column:
+    """Time of [month, day, hour, minute, second] texts; the format carries no year."""
+    at = F.instr(F.lit(MONTHS), F.lower(parts[0]))
+    month = F.when(F.pmod(at, F.lit(3)) == 1, F.floor(at / 3).cast("int") + 1)
+    day, hour, minute, second = (parts[i].try_cast("int") for i in range(1, 5))
+    made = F.try_make_timestamp(year, month, day, hour, minute, second.cast("decimal(8,6)"))
+    return F.when(parts.isNotNull() & (second < 60), made)
 
 
 def iso_clock_time(text: Column) -> Column:
@@ -46,27 +57,27 @@ def iso_clock_time(text: Column) -> Column:
 
 
 def _header(lines: DataFrame, year, rfc5424: bool) -> DataFrame:
+    """Add _host, _program, _message and _time. Each step is evaluated once per line, and only
+    the first runs on the whole line."""
     year = F.year(F.current_date()) if year is None else F.lit(year)
-    trimmed = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
-    df = with_line_id(lines).withColumn("raw", trimmed)
-    df = evaluated_once(df, _stamp=group(F.col("raw"), BSD_LINE, 1))
-    bsd = F.col("_stamp").isNotNull()
-    rfc = F.lit(False)
+    raw = F.col("raw")
+    df = with_line_id(lines).withColumn("raw", F.trim(raw, F.lit(BLANKS)))
+    df = evaluated_once(df, _head=F.regexp_extract(raw, BSD_HEADER, 0))
+    fields = F.when(F.col("_head") != "", groups(F.col("_head"), BSD_HEADER, 1, 2, 3))
     if rfc5424:
-        df = evaluated_once(df, _iso=F.when(~bsd, group(F.col("raw"), RFC5424_LINE, 1)))
-        rfc = F.col("_iso").isNotNull()
-
-    def pick(bsd_group: int, rfc_group: int, default: Column) -> Column:
-        out = F.when(bsd, F.regexp_extract("raw", BSD_LINE, bsd_group))
-        if rfc5424:
-            out = out.when(rfc, F.regexp_extract("raw", RFC5424_LINE, rfc_group))
-        return out.otherwise(default)
-
-    time = bsd_time(F.col("_stamp"), year)
+        df = evaluated_once(df, _rfc=F.when((F.col("_head") == "") & raw.startswith("<"),
+                                            F.regexp_extract(raw, RFC5424_HEADER, 0)).otherwise(""))
+        fields = fields.when(F.col("_rfc") != "", groups(F.col("_rfc"), RFC5424_HEADER, 1, 2, 3))
+    df = evaluated_once(df, _fields=fields)
+    stamp, bsd = F.col("_fields")[0], F.col("_head") != ""
+    df = evaluated_once(df, _parts=F.when(bsd, F.split(stamp, r"(?U)[\s:]+")))
+    time, used = bsd_time(F.col("_parts"), year), F.length("_head")
     if rfc5424:
-        time = F.coalesce(time, iso_clock_time(F.col("_iso")))
-    return evaluated_once(df, _host=pick(2, 2, F.lit("unknown")), _program=pick(3, 3, F.lit("unknown")),
-                          _message=pick(4, 4, F.col("raw")), _time=time)
+        time = F.coalesce(time, F.when(~bsd, iso_clock_time(stamp)))
+        used = used + F.length("_rfc")
+    return evaluated_once(df, _time=time, _message=F.substr(raw, used + 1),
+                          _host=F.coalesce(F.col("_fields")[1], F.lit("unknown")),
+                          _program=F.coalesce(F.col("_fields")[2], F.lit("unknown")))
 
 
 def _strings(*names: str) -> Column:
@@ -90,12 +101,12 @@ def _event(df: DataFrame, source_type: str, ctx: dict[str, Column], ingest_time)
 def normalize_syslog(lines: DataFrame, year: int | None = None, ingest_time=None) -> DataFrame:
     df = _header(lines, year, rfc5424=True)
     m = F.col("_message")
-    df = evaluated_once(df, _kind=F.when(m.rlike(SSH_FAILED), "failed")
-                        .when(m.rlike(SSH_ACCEPTED), "accepted"))
+    df = evaluated_once(df, _kind=F.when(has(m, "Failed password for ", SSH_FAILED), "failed")
+                        .when(has(m, "Accepted p", SSH_ACCEPTED), "accepted"))
     failed, accepted = F.col("_kind") == "failed", F.col("_kind") == "accepted"
-
-    def part(i: int) -> Column:
-        return F.when(failed, group(m, SSH_FAILED, i)).when(accepted, group(m, SSH_ACCEPTED, i))
+    df = evaluated_once(df, _found=F.when(failed, groups(m, SSH_FAILED, 1, 2, 3))
+                        .when(accepted, groups(m, SSH_ACCEPTED, 1, 2, 3)))
+    found = F.col("_found")
 
     return _event(df, "syslog", {
         "action": F.when(failed, "ssh_login_failed").when(accepted, "ssh_login_success")
@@ -103,7 +114,7 @@ def normalize_syslog(lines: DataFrame, year: int | None = None, ingest_time=None
         "outcome": F.when(failed, "failure").when(accepted, "success").otherwise("unknown"),
         "category": F.when(F.col("_kind").isNotNull(), _strings("authentication"))
                      .otherwise(_strings("process")),
-        "user": part(1), "ip": part(2), "port": part(3),
+        "user": found[0], "ip": found[1], "port": found[2],
     }, ingest_time)
 
 
@@ -111,28 +122,26 @@ def normalize_auth_log(lines: DataFrame, year: int | None = None, ingest_time=No
     """Eight ordered branches; the first that matches classifies the line."""
     df = _header(lines, year, rfc5424=False)
     m = F.col("_message")
-    kind = (F.when(m.rlike(SSH_FAILED), "ssh_login_failed")
-            .when(m.rlike(SSH_ACCEPTED), "ssh_login_success")
-            .when(m.rlike(SSH_INVALID_USER), "ssh_invalid_user")
-            .when(m.rlike(SUDO), "sudo_command")
-            .when(m.rlike(SU_SESSION), F.concat(F.lit("su_session_"), F.regexp_extract(m, SU_SESSION, 1)))
-            .when(m.rlike(PAM_FAILURE), "pam_auth_failure")
+    kind = (F.when(has(m, "Failed password for ", SSH_FAILED), "ssh_login_failed")
+            .when(has(m, "Accepted p", SSH_ACCEPTED), "ssh_login_success")
+            .when(has(m, "Invalid user ", SSH_INVALID_USER), "ssh_invalid_user")
+            .when(has(m, "COMMAND=", SUDO), "sudo_command")
+            .when(has(m, "pam_unix(su", SU_SESSION), F.concat(F.lit("su_session_"), F.regexp_extract(m, SU_SESSION, 1)))
+            .when(has(m, "authentication failure", PAM_FAILURE), "pam_auth_failure")
             .when(F.upper("_program").contains("CRON"), "cron_session")
             .otherwise("auth_event"))
     df = evaluated_once(df, _action=kind)
     a = F.col("_action")
     su = a.startswith("su_session_")
-    user = (F.when(a == "ssh_login_failed", group(m, SSH_FAILED, 1))
-            .when(a == "ssh_login_success", group(m, SSH_ACCEPTED, 1))
-            .when(a == "ssh_invalid_user", group(m, SSH_INVALID_USER, 1))
-            .when(a == "sudo_command", group(m, SUDO, 1))
-            .when(su, group(m, SU_SESSION, 2))
-            .when(a == "pam_auth_failure", group(m, PAM_FAILURE, 1)))
-    ip = (F.when(a == "ssh_login_failed", group(m, SSH_FAILED, 2))
-          .when(a == "ssh_login_success", group(m, SSH_ACCEPTED, 2))
-          .when(a == "ssh_invalid_user", group(m, SSH_INVALID_USER, 2)))
-    port = (F.when(a == "ssh_login_failed", group(m, SSH_FAILED, 3))
-            .when(a == "ssh_login_success", group(m, SSH_ACCEPTED, 3)))
+    # User, address and port, where the branch has them.
+    found = (F.when(a == "ssh_login_failed", groups(m, SSH_FAILED, 1, 2, 3))
+             .when(a == "ssh_login_success", groups(m, SSH_ACCEPTED, 1, 2, 3))
+             .when(a == "ssh_invalid_user", groups(m, SSH_INVALID_USER, 1, 2, 0))
+             .when(a == "sudo_command", groups(m, SUDO, 1, 0, 0))
+             .when(su, groups(m, SU_SESSION, 2, 0, 0))
+             .when(a == "pam_auth_failure", groups(m, PAM_FAILURE, 1, 0, 0)))
+    df = evaluated_once(df, _found=found)
+    found = F.col("_found")
     return _event(df, "auth_log", {
         "action": a,
         "outcome": F.when(a.isin("ssh_login_failed", "ssh_invalid_user", "pam_auth_failure"), "failure")
@@ -141,6 +150,6 @@ def normalize_auth_log(lines: DataFrame, year: int | None = None, ingest_time=No
                      .when(su, _strings("authentication", "session"))
                      .when(a == "cron_session", _strings("process"))
                      .otherwise(_strings("authentication")),
-        "user": user, "ip": ip, "port": port,
+        "user": found[0], "ip": found[1], "port": found[2],
         "dest_port": F.when(a.contains("ssh"), 22),
     }, ingest_time)
