@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .events import evaluated_once, event_columns, filled_time, with_custody_hash
-from .normalize_text import iso_clock_time, with_line_id
-
-RECORD = ("eventTime string, eventSource string, eventName string, sourceIPAddress string, "
-          "userIdentity struct<type: string, userName: string, principalId: string, arn: string, "
-          "accountId: string>, responseElements map<string, string>, errorCode string, "
-          "_corrupt string")
+from .normalize_text import BLANKS, iso_clock_time, with_line_id
 
 # Event name -> action and categories, fixed values.
 EVENT_NAMES = {
@@ -39,12 +34,25 @@ def lookup(table: dict, key: Column, index: int) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+# Field -> path in the record, fixed values.
+PATHS = {
+    "time": "$.eventTime", "service": "$.eventSource", "name": "$.eventName", "ip": "$.sourceIPAddress",
+    "user": "$.userIdentity.userName", "principal": "$.userIdentity.principalId", "arn": "$.userIdentity.arn",
+    "account": "$.userIdentity.accountId", "login": "$.responseElements.ConsoleLogin", "error": "$.errorCode",
+}
+
+
 def parsed_records(lines: DataFrame) -> DataFrame:
-    """Add ``rec``; ``bad`` marks lines that are not a JSON object."""
-    rec = F.from_json("raw", RECORD, {"columnNameOfCorruptRecord": "_corrupt"})
-    df = evaluated_once(with_line_id(lines).withColumn("raw", F.trim("raw")), rec=rec)
-    bad = F.col("rec._corrupt").isNotNull() | ~F.col("raw").startswith("{")
-    return df.withColumn("bad", F.coalesce(bad, F.lit(True)))
+    """Add ``rec`` with the fields as text; ``bad`` marks lines that are not a JSON object.
+
+    The record is parsed once, without a schema: a field of an unexpected type is just null and
+    does not make the record malformed.
+    """
+    raw = F.trim(F.col("raw"), F.lit(BLANKS))
+    df = with_line_id(lines).withColumn("raw", raw)
+    df = evaluated_once(df, _json=F.when(F.col("raw").startswith("{"), F.try_parse_json("raw")))
+    rec = F.struct(*[F.try_variant_get("_json", path, "string").alias(name) for name, path in PATHS.items()])
+    return evaluated_once(df, rec=rec, bad=F.col("_json").isNull()).drop("_json")
 
 
 def normalize_cloudtrail(lines: DataFrame, ingest_time=None, emit_parse_errors: bool = False) -> DataFrame:
@@ -53,14 +61,12 @@ def normalize_cloudtrail(lines: DataFrame, ingest_time=None, emit_parse_errors:
     if not emit_parse_errors:
         df = df.filter(~F.col("bad"))
     bad = F.col("bad")
-    name = F.coalesce(F.col("rec.eventName"), F.lit("unknown_action"))
-    login = F.try_element_at(F.col("rec.responseElements"), F.lit("ConsoleLogin"))
+    name = F.coalesce(F.col("rec.name"), F.lit("unknown_action"))
     outcome = (F.when(bad, "unknown")
-               .when(F.coalesce(F.col("rec.errorCode"), F.lit("")) != "", "failure")
-               .when(login == "Failure", "failure").otherwise("success"))
-    service = F.col("rec.eventSource")
-    identity = "rec.userIdentity."
-    time, fallback = filled_time(iso_clock_time(F.col("rec.eventTime")), ingest_time)
+               .when(F.coalesce(F.col("rec.error"), F.lit("")) != "", "failure")
+               .when(F.col("rec.login") == "Failure", "failure").otherwise("success"))
+    service = F.col("rec.service")
+    time, fallback = filled_time(iso_clock_time(F.col("rec.time")), ingest_time)
 
     def unless_bad(c: Column) -> Column:
         return F.when(~bad, c)
@@ -74,13 +80,12 @@ def normalize_cloudtrail(lines: DataFrame, ingest_time=None, emit_parse_errors:
         "event.category": F.when(bad, F.array(F.lit("process"))).otherwise(
             F.coalesce(lookup(EVENT_NAMES, name, 1), F.array(F.lit("process")))),
         "event.outcome": outcome,
-        "source.ip": F.col("rec.sourceIPAddress"),
+        "source.ip": F.col("rec.ip"),
         "destination.host": unless_bad(
             F.replace(F.coalesce(service, F.lit("")), F.lit(".amazonaws.com"), F.lit(""))),
-        "user.name": unless_bad(F.coalesce(F.col(identity + "userName"),
-                                           F.col(identity + "principalId"), F.lit("unknown"))),
-        "user.id": unless_bad(F.coalesce(F.col(identity + "arn"), F.lit(""))),
-        "user.domain": unless_bad(F.coalesce(F.col(identity + "accountId"), F.lit(""))),
+        "user.name": unless_bad(F.coalesce("rec.user", "rec.principal", F.lit("unknown"))),
+        "user.id": unless_bad(F.coalesce(F.col("rec.arn"), F.lit(""))),
+        "user.domain": unless_bad(F.coalesce(F.col("rec.account"), F.lit(""))),
         "host.name": unless_bad(F.coalesce(service, F.lit("aws"))),
         "log.source_type": F.lit("cloudtrail"), "log.raw": F.col("raw"),
     }

@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.features import NO_HISTORY, entity_features, feature_rows, state_after, with_tod_zscore
 from ..operators.scoring import _exists
@@ -38,13 +39,14 @@ class FeatureStream:
         fresh = feature_rows(batch, *self.carry).withColumn("hour", F.call_function(
             "div", F.col("us") - F.pmod("us", F.lit(HOUR)), F.lit(HOUR)))
         fresh.write.mode("overwrite").partitionBy("hour").parquet(rows_path)
-        rows = self.spark.read.parquet(rows_path).drop("hour")
+        stored = T.StructType([*fresh.schema.fields, T.StructField("batch", T.LongType())])
+        rows = self.spark.read.schema(fresh.schema).parquet(rows_path).drop("hour")
         first = rows.agg(F.min("us")).first()[0]
         if first is None:
             self._save_places(rows, batch_id)
             return
         counters = self._counters(batch_id)
-        history = self._history(batch_id, first)
+        history = self._history(batch_id, first, stored)
         features = self._features(rows, history, self._places(batch_id), counters)
         (self.sink or self._store)(features, batch_id)
         self._save_places(rows, batch_id)
@@ -64,11 +66,11 @@ class FeatureStream:
         out = entity_features(every, rows.unionByName(history, allowMissingColumns=True), places)
         return out.filter("is_new").drop("is_new")
 
-    def _history(self, batch_id: int, first: int) -> DataFrame | None:
+    def _history(self, batch_id: int, first: int, schema: T.StructType) -> DataFrame | None:
         """Stored rows of earlier batches from one hour before the first fresh row."""
         if batch_id == 0 or not _exists(self.spark, f"{self.root}/rows"):
             return None
-        stored = self.spark.read.option("basePath", f"{self.root}/rows").parquet(f"{self.root}/rows")
+        stored = self.spark.read.schema(schema).parquet(f"{self.root}/rows")
         since = first - HOUR
         return stored.filter((F.col("batch") < batch_id) & (F.col("hour") >= since // HOUR) & (F.col("us") >= since)).drop("hour", "batch")
 
@@ -77,7 +79,7 @@ class FeatureStream:
         start = (batch_id - 1) // self.compact_every * self.compact_every if batch_id else 0
         if batch_id == 0 or not _exists(self.spark, f"{self.root}/places"):
             return None
-        stored = self.spark.read.option("basePath", f"{self.root}/places").parquet(f"{self.root}/places")
+        stored = self.spark.read.parquet(f"{self.root}/places")
         return stored.filter((F.col("batch") < batch_id) & (F.col("batch") >= start)).groupBy("entity").agg(
             F.max("known_place").alias("known_place"))
 
