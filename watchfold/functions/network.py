@@ -76,8 +76,5 @@ def is_cidr(text: Column) -> Column:
 
 def ipv4_to_long(ip: Column) -> Column:
     """Address as a number, null when it is not IPv4."""
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(1, 5):
-        value = value * 256 + F.try_element_at(parts, F.lit(i)).try_cast("bigint")
-    return F.when(is_ipv4(ip), value)
+    parts = F.when(is_ipv4(ip), F.split(ip, r"\."))
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.cast("bigint"))

@@ -17,11 +17,15 @@ HOST_STRICT = rf"\A(?:{HOST_LABEL}\.)*{HOST_LABEL}\z"
 USERNAME = r"\A[a-z_][a-z0-9_\-]{0,31}\z"
 INTEGER = r"\A\+?[0-9]+(?:_[0-9]+)*\z"
 
+# All characters that count as white space at the ends of a text, fixed values.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 LOG_LIMIT, LABEL_LIMIT = 500, 80
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def html_escape(c: Column) -> Column:

@@ -156,11 +156,16 @@ def entity_features(rows: DataFrame, base: DataFrame | None = None, places: Data
         F.coalesce(speed, F.lit(0.0)).alias("geo_velocity_kmh"))
 
 
+def second_of_event() -> Column:
+    """Declared non-null, so joins add no filters and equal sub-plans stay equal and are reused."""
+    return F.coalesce(epoch_bucket("us", 1), F.lit(0))
+
+
 def hour_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events per second, and per calendar hour."""
-    per_second = rows.groupBy(epoch_bucket("us", 1).alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    per_second = per_second.withColumn("hour", F.call_function(
-        "div", F.col("sec") - F.pmod("sec", F.lit(3600)), F.lit(3600)))
+    per_second = rows.groupBy(second_of_event().alias("sec")).agg(F.count(F.lit(1)).alias("n"))
+    hour = F.call_function("div", F.col("sec") - F.pmod("sec", F.lit(3600)), F.lit(3600))
+    per_second = per_second.withColumn("hour", F.coalesce(hour, F.lit(0)))
     hours = per_second.groupBy("hour").agg(F.sum("n").alias("c")).withColumn("hod", F.pmod("hour", F.lit(24)))
     return per_second, hours
 
@@ -213,7 +218,7 @@ def hour_offsets(rows: DataFrame, start: dict = NO_HISTORY) -> DataFrame:
 
 def with_tod_zscore(rows: DataFrame, start: dict = NO_HISTORY) -> DataFrame:
     """Add the global running time-of-day z-score, continuing the counters of ``start``."""
-    timed = rows.withColumn("sec", epoch_bucket("us", 1))
+    timed = rows.withColumn("sec", second_of_event())
     w = W.partitionBy("sec").orderBy("us", "tie")
     ranked = timed.withColumn("j", F.row_number().over(w)).join(hour_offsets(rows, start), "sec")
     j = (F.col("j0") + F.col("j")).cast("double")

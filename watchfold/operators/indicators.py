@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.network import is_cidr, is_ip
 from ..functions.text import (GENERIC_VALUE, INTEGER, USERNAME, is_hostname, is_hostname_loose,
                               is_safe_variable, strip)
+from .events import evaluated_once
 from .normalize_cloud import lookup
 
 # Indicator name -> type, fixed values: by field name, and by playbook variable.
@@ -47,7 +48,7 @@ def clean_value(kind: Column, value: Column) -> Column:
 
 def validate_iocs(iocs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(type, value) rows split into valid ones with ``clean``, and the rest."""
-    judged = iocs.withColumn("clean", clean_value(F.col("type"), F.col("value")))
+    judged = evaluated_once(iocs, clean=clean_value(F.col("type"), F.col("value")))
     return judged.filter("clean is not null"), judged.filter("clean is null").drop("clean")
 
 

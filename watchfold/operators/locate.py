@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.network import ipv4_to_long
+from .events import evaluated_once
 from .ranks import salted_join
 
 
@@ -17,7 +18,7 @@ def lookup_addresses(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     per /16 it touches.
     """
     payload = [c for c in ranges.columns if c not in ("start_ip", "end_ip")]
-    keyed = addresses.withColumn("_n", ipv4_to_long(F.col("ip"))).filter("_n is not null").withColumn(
+    keyed = evaluated_once(addresses, _n=ipv4_to_long(F.col("ip"))).filter("_n is not null").withColumn(
         "_b", F.shiftright("_n", 16))
     spread = ranges.withColumn("_b", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))))
     hits = keyed.join(spread, "_b").filter(F.col("_n").between(F.col("start_ip"), F.col("end_ip")))

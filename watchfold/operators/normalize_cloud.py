@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .events import evaluated_once, event_columns, filled_time, with_custody_hash
-from .normalize_text import BLANKS, iso_clock_time, with_line_id
+from .normalize_text import iso_clock_time, with_line_id
 
 # Event name -> action and categories, fixed values.
 EVENT_NAMES = {
@@ -48,8 +49,7 @@ def parsed_records(lines: DataFrame) -> DataFrame:
     The record is parsed once, without a schema: a field of an unexpected type is just null and
     does not make the record malformed.
     """
-    raw = F.trim(F.col("raw"), F.lit(BLANKS))
-    df = with_line_id(lines).withColumn("raw", raw)
+    df = with_line_id(lines).withColumn("raw", strip(F.col("raw")))
     df = evaluated_once(df, _json=F.when(F.col("raw").startswith("{"), F.try_parse_json("raw")))
     rec = F.struct(*[F.try_variant_get("_json", path, "string").alias(name) for name, path in PATHS.items()])
     return evaluated_once(df, rec=rec, bad=F.col("_json").isNull()).drop("_json")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import blank_to_null
+from ..functions.text import strip
 from .events import event_columns, filled_time, with_custody_hash
 from .normalize_cloud import lookup
 from .normalize_text import with_line_id
@@ -47,7 +48,7 @@ def first_present(df: DataFrame, *names: str) -> Column:
 
 
 def safe_double(c: Column) -> Column:
-    value = F.trim(c).try_cast("double")
+    value = strip(c).try_cast("double")
     finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
     return F.coalesce(F.when(finite, value), F.lit(0.0))
 
@@ -58,7 +59,7 @@ def safe_integer(c: Column, kind: str = "bigint") -> Column:
 
 
 def flow_time(text: Column) -> Column:
-    text = F.trim(text)
+    text = strip(text)
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
 
 
@@ -68,9 +69,9 @@ def normalize_cicids(rows: DataFrame, ingest_time=None) -> DataFrame:
     def col(*names: str) -> Column:
         return first_present(df, *names)
 
-    label = F.trim(F.coalesce(col("Label"), F.lit(""))) if "Label" in df.columns else F.lit("BENIGN")
-    source_ip = blank_to_null(F.trim(col("Source IP", "Src IP")))
-    dest_ip = blank_to_null(F.trim(col("Destination IP", "Dst IP")))
+    label = strip(F.coalesce(col("Label"), F.lit(""))) if "Label" in df.columns else F.lit("BENIGN")
+    source_ip = blank_to_null(strip(col("Source IP", "Src IP")))
+    dest_ip = blank_to_null(strip(col("Destination IP", "Dst IP")))
     source_port = safe_integer(col("Source Port", "Src Port"), "int")
     dest_port = safe_integer(col("Destination Port", "Dst Port"), "int")
     summary = F.to_json(F.struct(

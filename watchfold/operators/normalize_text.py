@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .events import evaluated_once, event_columns, filled_time, with_custody_hash
 
 # Line formats, fixed values; (?U): letters, digits and spaces of any script. The header patterns
@@ -15,9 +16,6 @@ from .events import evaluated_once, event_columns, filled_time, with_custody_has
 BSD_HEADER = r"(?U)^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[\d+\])?\s*:\s*"
 RFC5424_HEADER = r"(?U)^<\d{1,3}>(?:\d)?\s*(\S+)\s+(\S+)\s+(\S+)\s+\S+\s+\S+\s*"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-# All characters that count as white space at the ends of a line, fixed values.
-BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
-          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 SSH_FAILED = r"(?U)Failed password for (?:invalid user )?(\S+) from ([\d.]+) port (\d+)"
 SSH_ACCEPTED = r"(?U)Accepted (?:password|publickey) for (\S+) from ([\d.]+) port (\d+)"
 SSH_INVALID_USER = r"(?U)Invalid user (\S+) from ([\d.]+)"
@@ -61,7 +59,7 @@ def _header(lines: DataFrame, year, rfc5424: bool) -> DataFrame:
     the first runs on the whole line."""
     year = F.year(F.current_date()) if year is None else F.lit(year)
     raw = F.col("raw")
-    df = with_line_id(lines).withColumn("raw", F.trim(raw, F.lit(BLANKS)))
+    df = with_line_id(lines).withColumn("raw", strip(raw))
     df = evaluated_once(df, _head=F.regexp_extract(raw, BSD_HEADER, 0))
     fields = F.when(F.col("_head") != "", groups(F.col("_head"), BSD_HEADER, 1, 2, 3))
     if rfc5424:

@@ -130,9 +130,13 @@ def attach_technique(df: DataFrame, techniques: DataFrame, key: str = "technique
 
 
 def assign_contexts(events: DataFrame, contexts: DataFrame, position: str = "position") -> DataFrame:
-    """Join by position; events past the last context take the last one."""
+    """Join by position; events past the last context take the last one.
+
+    The last context comes from a one-row subquery, so the padded events do not pile up on one
+    join key.
+    """
     payload = [c for c in contexts.columns if c != position]
-    last = contexts.agg(F.max(position)).scalar()
-    padded = events.withColumn("_p", F.least(F.col(position), last))
-    return (padded.join(contexts.select(F.col(position).alias("_p"), *payload), "_p", "left")
-            .drop("_p"))
+    last = contexts.agg(F.max_by(F.struct(position, *payload), position)).scalar()
+    joined = events.join(contexts, position, "left")
+    past = F.col(position) > last[position]
+    return joined.select(*events.columns, *[F.when(past, last[c]).otherwise(F.col(c)).alias(c) for c in payload])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators.normalize_cloud import normalize_cloudtrail, parsed_records
 from ..operators.normalize_flow import normalize_cicids
 from ..operators.normalize_text import normalize_auth_log, normalize_syslog
@@ -41,7 +42,7 @@ def read_lines(spark: SparkSession, path, stream: bool = False, **options) -> Da
     """One row per non-blank trimmed line; undecodable bytes become replacement characters."""
     reader = spark.readStream if stream else spark.read
     text = reader.options(**options).text(path)
-    return (text.select(F.trim(F.col("value")).alias("raw"),
+    return (text.select(strip(F.col("value")).alias("raw"),
                         F.col("_metadata.file_path").alias("path"))
             .filter(F.length("raw") > 0))
 

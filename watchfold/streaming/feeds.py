@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import entity_cluster
+from ..functions.text import strip
 from ..operators.dashboards import kpis
 from ..operators.normalize_flow import normalize_cicids
 from ..sources.logs import get_normalizer, read_flows, read_lines, split_bad, union_events
@@ -21,7 +22,7 @@ def raw_stream(spark: SparkSession, path: str, fmt: str = "text", **options) ->
     if fmt == "text":
         return read_lines(spark, path, stream=True, **options)
     stream = spark.readStream.format(fmt).options(**options).load()
-    return stream.select(F.trim(F.col("value").cast("string")).alias("raw")).filter(F.length("raw") > 0)
+    return stream.select(strip(F.col("value").cast("string")).alias("raw")).filter(F.length("raw") > 0)
 
 
 def normalized_stream(spark: SparkSession, path: str, source_type: str, flow_schema=None, options: dict | None = None,
