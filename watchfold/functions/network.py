@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?:{OCTET}\.){{3}}{OCTET}"
 HEX4 = r"[0-9a-fA-F]{1,4}"
+INTERNAL = r"\A(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."
 
-# Address prefixes the reference rule context treats as internal, fixed values.
+# Address prefixes that count as internal in the literal form, fixed values.
 INTERNAL_PREFIXES = ["10.", "172.16.", "172.17.", "172.18.", "172.19.", "172.2",
                      "172.30.", "172.31.", "192.168.", "127."]
 
@@ -22,13 +23,7 @@ def is_internal(ip: Column, literal: bool = False) -> Column:
         for prefix in INTERNAL_PREFIXES:
             hit = hit | ip.startswith(prefix)
         return F.coalesce(hit, F.lit(False))
-    parts = F.split(ip, r"\.")
-    first = F.try_element_at(parts, F.lit(1)).try_cast("int")
-    second = F.try_element_at(parts, F.lit(2)).try_cast("int")
-    hit = (first.isin(10, 127)
-           | ((first == 172) & second.between(16, 31))
-           | ((first == 192) & (second == 168)))
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(ip.rlike(INTERNAL), F.lit(False))
 
 
 def is_external(ip: Column, literal: bool = False) -> Column:
