@@ -3,11 +3,12 @@
 Every window of ``window`` words is represented by the k-mer of smallest hash inside it (its anchor), so two
 equal windows have the same anchor at the same place. Anchors are the nodes of the graph; the words from one
 anchor of a document to the next form an edge. Only nodes that occur more than once can lie in repeated windows.
-A node is a junction where its occurrences continue or begin differently; between junctions paths do not
-branch, and each occurrence of such a path compacts to one span of source coordinates, joined from the node table.
-A span repeats as a whole, since all occurrences of its first node follow the same edges. Windows that lie in
-no compacted span (around junctions and the ends of a repeat) but have a repeated anchor are verified one by
-one: their 128-bit word-sequence hash must occur at a second coordinate.
+A node parts if its occurrences do not all go on with the same edge, and meets if they do not all come by the
+same edge; elsewhere the path does not branch. A join brings this back to the source coordinates, and the
+nonbranching paths compact to one span per occurrence. A span repeats as a whole, since all occurrences of its
+first node follow the same edges, and it is the same for all of them. Windows that lie in no compacted span (around
+branches and the ends of a repeat) but have a repeated anchor are verified one by one: together with the
+anchor, their word-sequence hash (128 bits in all) must occur at a second coordinate.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from watchfold.session import reliable
 
 U64 = W.U64
 KEY = ["d", "h"]
+HOT = 10_000
 
 
 def anchors_of(nodes: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +65,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """(d, h, i, at, node, edge): the anchors of every row in order, with the hash of the words up to the next."""
+    """(d, h, i, at, node, edge, back): the anchors of every row in order, with the hashes of the words up to the next
+    and from the last."""
 
     def run(batches):
         for batch in batches:
@@ -78,36 +81,28 @@ def occurrences(rows: DataFrame, window: int, k: int) -> DataFrame:
                 same = row[1:] == row[:-1]
                 edge = np.zeros(len(at), dtype=U64)
                 edge[:-1][same] = W.hash_spans(r.words, at[:-1][same], at[1:][same] + k) | U64(1)
+                back = np.concatenate([[U64(0)], edge[:-1]])
                 first = np.flatnonzero(np.concatenate([[True], ~same]))
                 i = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
                 source = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
                     [d.take(source), h.take(source), pa.array(i.astype(np.int32)),
                      pa.array((at - r.firsts[row]).astype(np.int32)), pa.array(r.nodes[at].view(np.int64)),
-                     pa.array(edge.view(np.int64))], ["d", "h", "i", "at", "node", "edge"])
-
-    return rows.select("d", "h", "text").mapInArrow(run, "d long, h int, i int, at int, node long, edge long")
-
-
-def repeated_paths(found: DataFrame, k: int) -> DataFrame:
-    """(d, h, anchors, spans): per row the word positions of its repeated anchors, and its compacted paths as
-    [start, end) word spans, each of which occurs at least twice as a whole."""
-    often = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    again = reliable(found.join(often, "node").dropDuplicates([*KEY, "i"]), "nodes")
-    order = Window.partitionBy(*KEY).orderBy("i")
-    before = F.lag("i").over(order) == F.col("i") - 1
-    ways = reliable(again.withColumn("back", F.when(before, F.lag("edge").over(order))), "ways")
-    junctions = ways.groupBy("node").agg(
-        ((F.min("edge") != F.max("edge")) | (F.min("edge") == 0)).alias("parts"),
-        ((F.count("back") < F.count(F.lit(1))) | ~F.coalesce(F.min("back") == F.max("back"), F.lit(False))).alias("meets"))
-    placed = ways.join(junctions, "node")
-    follows = F.coalesce((F.lag("i").over(order) == F.col("i") - 1) & ~F.lag("parts").over(order) & ~F.col("meets"), F.lit(False))
-    numbered = placed.withColumn("begins", (~follows).cast("int")).withColumn("path", F.sum("begins").over(order))
-    paths = numbered.groupBy(*KEY, "path").agg(F.min("at").alias("start"), (F.max("at") + k).alias("end"),
-                                               F.collect_list("at").alias("at"))
-    return paths.groupBy(*KEY).agg(
-        F.sort_array(F.flatten(F.collect_list("at"))).alias("anchors"),
-        F.collect_list(F.struct("start", "end")).alias("spans"))
+                     pa.array(edge.view(np.int64)), pa.array(back.view(np.int64))],
+                    ["d", "h", "i", "at", "node", "edge", "back"])
+
+    return rows.select("d", "h", "text").mapInArrow(run, "d long, h int, i int, at int, node long, edge long, back long")
+
+
+def repeated_nodes(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """(d, h, nodes): per row its repeated anchors (i, at, parts, meets, hot); ``hot`` says that the node has more
+    than ``HOT`` occurrences."""
+    found = occurrences(rows, window, k)
+    often = found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("e1"), F.max("edge").alias("e2"),
+                                      F.min("back").alias("b1"), F.max("back").alias("b2")).filter("n > 1")
+    often = often.selectExpr("node", "e1 <> e2 or e1 = 0 as parts", "b1 <> b2 or b1 = 0 as meets", f"n > {HOT} as hot")
+    placed = found.select(*KEY, "i", "at", "node").join(often, "node")
+    return placed.groupBy(*KEY).agg(F.collect_set(F.struct("i", "at", "parts", "meets", "hot")).alias("nodes"))
 
 
 def _lists(column: pa.Array):
@@ -122,12 +117,22 @@ def _ints(column: pa.Array, firsts: np.ndarray, a: int, b: int) -> np.ndarray:
     return firsts[row] + values.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _span_ends(column: pa.Array, firsts: np.ndarray, a: int, b: int, window: int):
-    row, values = _lists(column.slice(a, b - a))
-    start = values.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-    end = values.field("end").to_numpy(zero_copy_only=False).astype(np.int64)
-    long = end - start >= window
-    return firsts[row[long]] + start[long], firsts[row[long]] + end[long]
+class Nodes:
+    """Repeated anchors of rows a..b as positions in the run's words, and their compacted spans."""
+
+    def __init__(self, column: pa.Array, firsts: np.ndarray, a: int, b: int, k: int, window: int):
+        row, values = _lists(column.slice(a, b - a))
+        i, at, parts, meets, hot = (values.field(n).to_numpy(zero_copy_only=False) for n in ("i", "at", "parts", "meets", "hot"))
+        order = np.lexsort((i, row))
+        row, i, parts, meets = row[order], i[order], parts[order].astype(bool), meets[order].astype(bool)
+        self.at, self.hot = firsts[row] + at[order].astype(np.int64), hot[order].astype(bool)
+        begins = np.ones(len(row), dtype=bool)
+        begins[1:] = ~((row[1:] == row[:-1]) & (i[1:] == i[:-1] + 1) & ~parts[:-1] & ~meets[1:])
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(row)) - 1
+        starts, ends = self.at[first], self.at[last] + k
+        long = ends - starts >= window
+        self.starts, self.ends = starts[long], ends[long]
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -137,8 +142,9 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def open_windows(rows: DataFrame, paths: DataFrame, window: int, k: int) -> DataFrame:
-    """(d, h, at, wa, wb): windows with a repeated anchor that lie in no compacted path, with their hashes."""
+def open_windows(rows: DataFrame, nodes: DataFrame, window: int, k: int) -> DataFrame:
+    """(d, h, hot, node, low, windows): per repeated anchor the hashes of its consecutive windows from word ``low`` on
+    that lie in no compacted span."""
 
     def run(batches):
         for batch in batches:
@@ -148,20 +154,40 @@ def open_windows(rows: DataFrame, paths: DataFrame, window: int, k: int) -> Data
                 r = Run(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], window, k)
                 if not len(r.row):
                     continue
-                repeated = np.zeros(len(r.words), dtype=bool)
-                repeated[_ints(batch.column(3), r.firsts, a, b)] = True
-                s, e = _span_ends(batch.column(4), r.firsts, a, b, window)
-                inside = _covered(len(r.words), s, e - window + 1)
+                found = Nodes(batch.column(3), r.firsts, a, b, k, window)
+                repeated, hot = np.zeros(len(r.words), dtype=bool), np.zeros(len(r.words), dtype=bool)
+                repeated[found.at], hot[found.at] = True, found.hot
+                inside = _covered(len(r.words), found.starts, found.ends - window + 1)
                 pick = np.flatnonzero(repeated[r.anchor] & ~inside[r.at])
-                at, source = r.at[pick], pa.array(r.row[pick] + a)
-                other = W.mix(r.words ^ U64(0x2545F4914F6CDD1D))
+                if not len(pick):
+                    continue
+                at, anchor, row = r.at[pick], r.anchor[pick], r.row[pick]
+                first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
+                hashes = W.hash_spans(r.words, at, at + window).view(np.int64)
+                source = pa.array(row[first] + a)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(hashes))
                 yield pa.RecordBatch.from_arrays(
-                    [d.take(source), h.take(source), pa.array((at - r.firsts[r.row[pick]]).astype(np.int32)),
-                     pa.array(W.hash_spans(r.words, at, at + window).view(np.int64)),
-                     pa.array(W.hash_spans(other, at, at + window).view(np.int64))], ["d", "h", "at", "wa", "wb"])
+                    [d.take(source), h.take(source), pa.array(hot[anchor[first]]), pa.array(r.nodes[anchor[first]].view(np.int64)),
+                     pa.array((at[first] - r.firsts[row[first]]).astype(np.int32)), lists], ["d", "h", "hot", "node", "low", "windows"])
+
+    joined = rows.select(*KEY, "text").join(nodes, KEY).select(*KEY, "text", "nodes")
+    return joined.mapInArrow(run, "d long, h int, hot boolean, node long, low int, windows array<long>")
+
 
-    joined = rows.select(*KEY, "text").join(paths, KEY).select(*KEY, "text", "anchors", "spans")
-    return joined.mapInArrow(run, "d long, h int, at int, wa long, wb long")
+def repeated_windows(asked: DataFrame) -> DataFrame:
+    """(d, h, windows): start words of the windows of ``asked`` that occur at least twice.
+
+    Windows of one node meet in one partition and are counted there. Those of hot nodes, which might fill
+    a task, are counted before and after the shuffle, and the counts are joined back.
+    """
+    flat = ["d", "h", "node", (F.col("low") + F.col("j")).alias("at"), "w"]
+    cold = asked.filter("not hot").repartition("node").select("d", "h", "node", "low", F.posexplode("windows").alias("j", "w")).select(*flat)
+    counted = cold.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node", "w"))).filter("n > 1")
+    per_node = counted.groupBy("node", *KEY).agg(F.collect_set("at").alias("at"))
+    hot = asked.filter("hot").select("d", "h", "node", "low", F.posexplode("windows").alias("j", "w")).select(*flat)
+    twice = hot.groupBy("node", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", "w")
+    again = hot.join(twice, ["node", "w"]).groupBy("node", *KEY).agg(F.collect_set("at").alias("at"))
+    return per_node.union(again).groupBy(*KEY).agg(F.flatten(F.collect_list("at")).alias("windows"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -175,11 +201,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     k = max(1, min(8, window // 2))
     rows = keyed(docs)
-    found = reliable(occurrences(rows, window, k), "anchors")
-    paths = reliable(repeated_paths(found, k), "paths")
-    asked = open_windows(rows, paths, window, k)
-    twice = asked.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("wa", "wb")
-    again = asked.join(twice, ["wa", "wb"]).groupBy(*KEY).agg(F.collect_set("at").alias("windows"))
+    nodes = reliable(repeated_nodes(rows, window, k), "nodes")
+    again = repeated_windows(open_windows(rows, nodes, window, k))
 
     def run(batches):
         for batch in batches:
@@ -188,9 +211,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             for a, b in W.runs_of_rows(offsets):
                 part = data[offsets[a]:offsets[b]]
                 starts, ends, firsts = W.find_words(part, offsets[a:b + 1] - offsets[a])
-                s, e = _span_ends(batch.column(4), firsts, a, b, window)
+                found = Nodes(batch.column(4), firsts, a, b, k, window)
                 at = _ints(batch.column(5), firsts, a, b)
-                gone = _covered(len(starts), np.concatenate([s, at]), np.concatenate([e, at + window]))
+                gone = _covered(len(starts), np.concatenate([found.starts, at]), np.concatenate([found.ends, at + window]))
                 n = np.diff(firsts)
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[firsts])
                 texts = []
@@ -202,6 +225,5 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     [ids.slice(a, b - a), pa.array(n), pa.array(removed), pa.array(texts, pa.binary()).cast(pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    whole = (rows.join(paths.select(*KEY, "spans"), KEY, "left").join(again, KEY, "left")
-             .select(*KEY, "doc_id", "text", "spans", "windows"))
+    whole = rows.join(nodes, KEY, "left").join(again, KEY, "left").select(*KEY, "doc_id", "text", "nodes", "windows")
     return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
