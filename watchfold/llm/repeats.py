@@ -129,7 +129,7 @@ class Nodes:
         begins = np.ones(len(row), dtype=bool)
         begins[1:] = ~((row[1:] == row[:-1]) & (i[1:] == i[:-1] + 1) & ~parts[:-1] & ~meets[1:])
         first = np.flatnonzero(begins)
-        last = np.append(first[1:], len(row)) - 1
+        last = np.append(first, len(row))[1:] - 1
         starts, ends = self.at[first], self.at[last] + k
         long = ends - starts >= window
         self.starts, self.ends = starts[long], ends[long]
