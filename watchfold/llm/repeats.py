@@ -24,7 +24,8 @@ from watchfold.session import reliable
 
 U64 = W.U64
 KEY = ["d", "h"]
-HOT = 10_000
+# Windows of a node meet in one task up to this many occurrences (some 60 MB of rows).
+HOT = 200_000
 
 
 def anchors_of(nodes: np.ndarray, width: int) -> np.ndarray:
