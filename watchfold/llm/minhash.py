@@ -3,9 +3,9 @@
 One hash of every word shingle fills ``bands * rows`` bins; an empty bin borrows from a bin drawn by a hash of
 its number, so that any two signatures agree in a bin with the probability of their similarity. Bands of
 ``rows`` bins name buckets. In a bucket every set is paired with the smallest id only, and the pairs are
-confirmed on the full shingle sets. A bucket that then still holds several components is searched further:
-pairs across components which the exact distances to the bucket's hub cannot rule out (Jaccard distance obeys
-the triangle inequality) are confirmed too, so a bucket loses no link that would join two components.
+confirmed on the full shingle sets. A bucket that then still holds several components is compared whole, in
+blocks of bounded size: intersections of all its full sets are counted inside the task, and each block passes on
+a star per local component, so neither pairs nor links are written and a bucket loses no link.
 With 20 bands of 4, a pair of similarity 0.8 meets in no bucket with probability 2.6e-5.
 """
 
@@ -24,6 +24,8 @@ from watchfold.session import reliable
 
 U64 = W.U64
 EMPTY = np.iinfo(np.uint64).max
+BLOCK = 256
+SLICE = 4096
 
 
 def shingle_sets(column: pa.Array, width: int, lower: bool = True) -> Iterator[list[np.ndarray]]:
@@ -112,12 +114,17 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents named by ``ids`` (id)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, shared, united) of candidate ``pairs`` (a, b), counted on the full shingle sets."""
 
     def run(batches):
         for batch in batches:
-            at = 0
             left = (s for part in shingle_sets(batch.column(2), width) for s in part)
             right = (s for part in shingle_sets(batch.column(3), width) for s in part)
             united, shared = [], []
@@ -125,18 +132,72 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 both = len(np.unique(np.concatenate([x, y])))
                 united.append(both)
                 shared.append(len(x) + len(y) - both)
-                at += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()),
                                               pa.array(united, pa.int64())], ["a", "b", "shared", "united"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = reliable(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-                     .join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    both = (pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-            .join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b"))
+    both = (pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, united long")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, in slices of the values they have in common."""
+    values = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
+        ok = values[at] == flat if len(values) else np.zeros(len(flat), dtype=bool)
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], row[ok][order]
+
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    (la, lr), (ra, rr) = places(left), places(right)
+    for low in range(0, len(values), SLICE):
+        tables = []
+        for at, row, n in ((la, lr, len(left)), (ra, rr, len(right))):
+            i, j = np.searchsorted(at, [low, low + SLICE])
+            table = np.zeros((n, min(SLICE, len(values) - low)), dtype=np.float32)
+            table[row[i:j], at[i:j] - low] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def compare_blocks(members: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(a, b): stars of the local components among the linked sets of each bucket of ``members`` (key, rep)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sets = [s for part in shingle_sets(group["text"].combine_chunks(), width) for s in part]
+        rep, side = group["rep"].to_numpy(), group["side"].to_numpy()
+        a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        out = pa.array([], pa.int64()), pa.array([], pa.int64())
+        if len(a) and len(b):
+            size = np.array([len(s) for s in sets], dtype=np.float64)
+            both = intersections([sets[i] for i in a], [sets[i] for i in b]).astype(np.float64)
+            close = 100 * both >= similarity * (size[a][:, None] + size[b][None, :] - both)
+            root = rep.copy()
+            while True:
+                new, most = root.copy(), np.iinfo(np.int64).max
+                new[a] = np.minimum(new[a], np.where(close, root[b][None, :], most).min(axis=1))
+                new[b] = np.minimum(new[b], np.where(close, new[a][:, None], most).min(axis=0))
+                if (new == root).all():
+                    break
+                root = new
+            moved = root != rep
+            out = pa.array(rep[moved]), pa.array(root[moved])
+        return pa.table({"a": out[0], "b": out[1]})
+
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
+    placed = members.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep",
+                          F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    full = dealt.join(texts.withColumnRenamed("id", "rep"), "rep")
+    return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of ``docs`` (doc_id, text).
 
@@ -154,33 +215,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = reliable(members.join(hubs, "key"), "buckets")
     stars = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    checked = reliable(confirm(stars, docs, width), "stars")
-    linked = F.expr(f"100 * shared >= {similarity} * united")
-    groups = reliable(components(checked.filter(linked)), "components")
-
-    # Buckets that still hold several components: pairs across them that the hub distances leave open.
+    # Only sets that share a bucket are looked at in full, and their texts are moved once.
+    texts = reliable(texts_of(docs, shared.select(F.col("rep").alias("id")).distinct()), "texts")
+    linked = confirm(stars, texts, width).filter(F.expr(f"100 * shared >= {similarity} * united"))
+    groups = reliable(components(linked), "components")
     placed = shared.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    far = checked.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (1 - F.col("shared") / F.col("united")).alias("far"))
-    open_ = reliable(placed.filter("rep <> hub").join(mixed.select("key"), "key").join(far, ["rep", "hub"])
-                     .select("key", "rep", "n_shingles", "component", "far"), "open")
-    other = open_.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n_shingles", "component", "far")])
-    reach = 1 - similarity / 100 + 1e-9
-    more = open_.join(other, "key").filter(
-        (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2"))
-        & (100 * F.least("n_shingles", "n_shingles_2") >= similarity * F.greatest("n_shingles", "n_shingles_2"))
-        & (F.abs(F.col("far") - F.col("far_2")) <= reach))
-    more = reliable(more.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct(), "across")
-    if not more.isEmpty():
-        joined = confirm(more, docs, width).filter(linked)
-        first = groups.select(F.col("id").alias("a"), F.col("component").alias("x"))
-        second = groups.select(F.col("id").alias("b"), F.col("component").alias("y"))
-        lifted = joined.join(first, "a", "left").join(second, "b", "left").select(
-            F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        top = reliable(components(lifted), "components").select(F.col("id").alias("component"), F.col("component").alias("over"))
-        nodes = groups.union(top.select("component", "component")).distinct()
-        groups = nodes.join(top, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    # Two sets are a hub and one other, which are already confirmed.
+    mixed = mixed.filter("x <> y and n > 2").select("key")
+    across = compare_blocks(placed.join(mixed, "key").select("key", "rep"), texts, width, similarity)
+    first = groups.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    second = groups.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    lifted = across.distinct().join(first, "a", "left").join(second, "b", "left").select(
+        F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    top = reliable(components(lifted), "components").select(F.col("id").alias("component"), F.col("component").alias("over"))
+    nodes = groups.union(top.select("component", "component")).distinct()
+    groups = nodes.join(top, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
     named = classes.select("n_shingles", "set_a", "set_b", F.col("rep").alias("id")).join(groups, "id", "left").select(
         "n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
