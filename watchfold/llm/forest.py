@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a random-projection tree forest.
 
-Every tree splits recursively at the median of a random projection; rows within ``margin`` of a split spill into
-both sides. Thresholds are fitted on at most about ``SAMPLE`` rows per node, all rows are routed. Nodes above
+Every tree splits recursively at the median of a random projection; rows near a split spill into both sides, by
+``slack`` of the typical projected distance of a pair at the threshold. Thresholds are fitted on at most about ``SAMPLE`` rows per node, all rows are routed. Nodes above
 ``leaf`` rows are split again until they are small, or until a split would spill more than ``SPILLED`` of its
 rows, as in a group of near copies; such leaves are compared in blocks. Inside a leaf all cosines are computed
 exactly. A pair that meets in several leaves is counted in the one of smallest id only, so link counts are
@@ -22,7 +22,7 @@ from watchfold.operators.ranks import salted_join
 from watchfold.session import reliable
 
 SAMPLE = 1024
-SPILLED = 0.35
+SPILLED = 0.2
 DEPTH = 6
 BLOCK = 1024
 ENTRY = "rep long, label int, copies long, embedding array<float>, tree int, level int, node long, done boolean"
@@ -60,16 +60,16 @@ def fit_node(sample: np.ndarray, size: int, leaf: int, margin: float) -> np.ndar
     return out
 
 
-def _fit(leaf: int, margin: float):
+def _fit(leaf: int, reach: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
         x = unit(group["embedding"].tolist())
         p = x @ directions(int(first["tree"]), int(first["level"]), DEPTH, x.shape[1]).T
-        return pd.DataFrame({"node": [first["node"]], "cuts": [fit_node(p, int(first["size"]), leaf, margin)]})
+        return pd.DataFrame({"node": [first["node"]], "cuts": [fit_node(p, int(first["size"]), leaf, reach / np.sqrt(x.shape[1]))]})
     return run
 
 
-def _route(margin: float):
+def _route(reach: float):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
@@ -84,6 +84,7 @@ def _route(margin: float):
             for (t, lv, d), rows in groups.items():
                 x = unit(flat[(at[rows][:, None] + np.arange(d))].tolist())
                 p = x @ directions(int(t), int(lv), DEPTH, int(d)).T
+                margin = reach / np.sqrt(d)
                 now, pos = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64)
                 for depth in range(DEPTH + 1):
                     cut = cuts[rows[now], pos] if depth < DEPTH else np.full(len(now), np.nan)
@@ -108,7 +109,7 @@ def _route(margin: float):
     return run
 
 
-def grow(vectors: DataFrame, trees: int, leaf: int, margin: float) -> DataFrame:
+def grow(vectors: DataFrame, trees: int, leaf: int, reach: float) -> DataFrame:
     """Leaf entries (see ENTRY) of all ``vectors`` (rep, label, copies, embedding) in all trees."""
     spark = vectors.sparkSession
     entries = (vectors.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
@@ -124,9 +125,9 @@ def grow(vectors: DataFrame, trees: int, leaf: int, margin: float) -> DataFrame:
             return leaves
         drawn = salted_join(open_, big, "node", "inner", spread="rep").filter(
             F.pmod(F.xxhash64("rep", "node", F.lit(5)), F.lit(1 << 30)) * F.col("size") < F.lit(SAMPLE << 30))
-        cuts = reliable(drawn.groupBy("node").applyInPandas(_fit(leaf, margin), "node long, cuts array<double>"), "cuts")
+        cuts = reliable(drawn.groupBy("node").applyInPandas(_fit(leaf, reach), "node long, cuts array<double>"), "cuts")
         routed = salted_join(open_, cuts, "node", "inner", spread="rep")
-        open_ = reliable(routed.mapInArrow(_route(margin), ENTRY), "tree")
+        open_ = reliable(routed.mapInArrow(_route(reach), ENTRY), "tree")
 
 
 def _linked(least: float):
@@ -173,7 +174,7 @@ def _linked(least: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.93, trees: int = 12, leaf: int = 256, margin: float = 0.012) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.93, trees: int = 12, leaf: int = 256, slack: float = 0.26) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``rows`` (vec_id, embedding, label).
 
     Vectors of one label whose cosine in double precision is ``least`` or more are linked. A vector that is
@@ -190,7 +191,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, trees: int = 12, leaf:
     marked = given.withColumn("usable", usable)
     classes = reliable(marked.filter("usable").groupBy("label", "embedding").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "label", "copies", "embedding"), "vectors")
-    leaves = reliable(grow(classes, trees, leaf, margin), "leaves")
+    leaves = reliable(grow(classes, trees, leaf, slack * np.sqrt(2 - 2 * least)), "leaves")
     places = leaves.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
     sizes = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
