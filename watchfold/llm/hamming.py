@@ -77,7 +77,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 10) -> DataFrame:
         fresh = F.least(*flips) == radius if len(flips) > 1 else flips[0] == radius
         for j, flip in enumerate(flips):
             fresh = fresh & ((F.col("j") <= j) | (flip > radius))
-        met = probes.join(index, ["j", "value"]).filter(fresh).select("q", "code", F.bit_count(apart).alias("d"), "least", "n")
+        # Spark takes exploded rows for as small as their source; a broadcast of them would have no bound.
+        met = probes.hint("merge").join(index, ["j", "value"]).filter(fresh).select("q", "code", F.bit_count(apart).alias("d"), "least", "n")
         ordered = state.union(met).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most)
         state = reliable(ordered.withColumn("sum", F.sum("n").over(top.rowsBetween(Window.unboundedPreceding, 0))), "nearest")
         reach = len(parts) * (radius + 1) - 1
