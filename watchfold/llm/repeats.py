@@ -150,12 +150,12 @@ def open_windows(rows: DataFrame, nodes: DataFrame, window: int, k: int) -> Data
     def run(batches):
         for batch in batches:
             d, h = batch.column(0), batch.column(1)
-            data, offsets = W.text_buffers(batch.column(2))
+            data, offsets = W.text_buffers(batch.column(3))
             for a, b in W.runs_of_rows(offsets):
                 r = Run(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], window, k)
                 if not len(r.row):
                     continue
-                found = Nodes(batch.column(3), r.firsts, a, b, k, window)
+                found = Nodes(batch.column(4), r.firsts, a, b, k, window)
                 repeated, hot = np.zeros(len(r.words), dtype=bool), np.zeros(len(r.words), dtype=bool)
                 repeated[found.at], hot[found.at] = True, found.hot
                 inside = _covered(len(r.words), found.starts, found.ends - window + 1)
@@ -171,7 +171,8 @@ def open_windows(rows: DataFrame, nodes: DataFrame, window: int, k: int) -> Data
                     [d.take(source), h.take(source), pa.array(hot[anchor[first]]), pa.array(r.nodes[anchor[first]].view(np.int64)),
                      pa.array((at[first] - r.firsts[row[first]]).astype(np.int32)), lists], ["d", "h", "hot", "node", "low", "windows"])
 
-    joined = rows.select(*KEY, "text").join(nodes, KEY).select(*KEY, "text", "nodes")
+    # The same columns of ``rows`` as in the last join, so that its shuffle of the texts is reused.
+    joined = rows.join(nodes, KEY).select(*KEY, "doc_id", "text", "nodes")
     return joined.mapInArrow(run, "d long, h int, hot boolean, node long, low int, windows array<long>")
 
 
