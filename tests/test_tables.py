@@ -1,9 +1,16 @@
 import json
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from watchfold.operators import evaluation
+from watchfold.operators.incidents import alert_change_payloads
+from watchfold.operators.normalize_text import normalize_syslog
+from watchfold.operators.training import flow_features
+from watchfold.schema import FEATURES
+from watchfold.sources.logs import split_bad
+from watchfold.sources.rules import TECHNIQUES, Rule, load_rules, read_techniques, split_rules
 from watchfold.sources.tables import append_table, read_table, write_snapshots
 
 
@@ -26,7 +33,57 @@ def test_snapshots_by_week(spark, tmp_path):
 def test_append_keeps_declared_columns(spark, tmp_path):
     row = spark.sql("select 'x' as incident_id, 1L as seq, 'created' as action, 'system' as actor, cast(null as string) as previous_hash, "
                     "'h' as this_hash, 't' as timestamp, 'extra' as other")
-    append_table(row, str(tmp_path), "ledger")
-    append_table(row, str(tmp_path), "ledger")
+    append_table(row, str(tmp_path), "ledger", "monday")
+    append_table(row, str(tmp_path), "ledger", "monday")
+    append_table(row, str(tmp_path), "ledger", "tuesday")
     back = read_table(spark, str(tmp_path), "ledger")
     assert back.count() == 2 and back.columns == ["incident_id", "seq", "action", "actor", "previous_hash", "this_hash", "timestamp"]
+
+
+def test_custody_hash_covers_the_whole_record(spark):
+    lines = spark.createDataFrame([(str(i), "Jan  5 10:00:00 alpha app: " + "x" * 1500 + end) for i, end in enumerate("aab")],
+                                  "line_id string, raw string")
+    rows = normalize_syslog(lines, 2026).orderBy("id").select("related.hash", F.length("log.raw").alias("n")).collect()
+    assert rows[0].hash == rows[1].hash != rows[2].hash and {r.n for r in rows} == {1000}
+
+
+def test_quarantine_keeps_whole_records(spark):
+    _, bad = split_bad(spark.createDataFrame([("{" + "y" * 2000,)], "raw string"), "cloudtrail")
+    row = bad.first()
+    assert len(row.raw) == 2001 and len(row.preview) == 500
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    rows = spark.range(300).selectExpr("cast(id as string) as line_id", "id % 9 as `Total Fwd Packets`", "'BENIGN' as Label")
+    wanted = flow_features(rows).select("line_id", *FEATURES).orderBy("line_id").collect()
+    assert wanted == flow_features(rows.repartition(7)).select("line_id", *FEATURES).orderBy("line_id").collect()
+    z = [r.tod_zscore for r in wanted]
+    assert abs(sum(z)) / len(z) < 0.3 and 0.7 < sum(x * x for x in z) / len(z) < 1.3
+
+
+def test_changes_name_the_status_before(spark):
+    alerts = spark.createDataFrame([("a", "i", "new"), ("b", None, "new")], "id string, incident_id string, status string")
+    changes = spark.sql("""select * from values ('a', 'closed', 'lee', timestamp '2026-01-02', 1L), ('a', 'ack', 'lee', timestamp '2026-01-02', 0L),
+        ('b', 'nonsense', 'lee', timestamp '2026-01-01', 0L), ('c', 'ack', 'lee', timestamp '2026-01-01', 0L)
+        as t(alert_id, new_status, actor, ts, seq)""")
+    said = [json.loads(r.payload) for r in alert_change_payloads(alerts, changes).orderBy("ts", "seq").collect()]
+    assert [(x["from"], x["to"]) for x in said] == [("new", "ack"), ("ack", "closed")]
+
+
+def test_bundle_is_completed_and_deduplicated(spark, tmp_path):
+    def pattern(number, name):
+        return {"type": "attack-pattern", "name": name, "external_references": [{"source_name": "mitre-attack", "external_id": number}]}
+    (tmp_path / "b.json").write_text(json.dumps({"objects": [pattern("T1078", "Mine"), pattern("T1078", "Other")]}))
+    got = {r.technique_id: r.name for r in read_techniques(spark, str(tmp_path / "b.json")).collect()}
+    assert got["T1078"] == "Mine" and got["T1110"] == "Brute Force" and set(got) >= set(TECHNIQUES)
+
+
+@pytest.mark.parametrize("condition", ["user > 5", "dest_port = 'ssh'", "bytes_transferred / dest_port > 1", "dest_port -1 > 2",
+                                       "source_is_internal = 'maybe'"])
+def test_conditions_that_may_fail_are_left_out(spark, condition):
+    assert split_rules(spark, [Rule("r", "T1", "n", "t", condition)])[0] == []
+
+
+def test_conditions_on_numbers_stay(spark):
+    good, bad = split_rules(spark, [Rule("r", "T1", "n", "t", "dest_port > -1 and anomaly_score >= 1 and bytes_transferred > 2.5"), *load_rules()])
+    assert bad == [] and len(good) == 1 + len(load_rules())

@@ -102,15 +102,11 @@ def alert_kpis(alerts: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(score != 0, score)), F.lit(0.0)).alias("avg_score"))
 
 
-def kpis(incidents: DataFrame, alerts: DataFrame, incident_limit: int | None = None,
-         alert_limit: int | None = None) -> DataFrame:
-    """One row; the limits reproduce views that only look at the newest rows."""
-    if incident_limit:
-        incidents = newest(incidents, incident_limit)
-    if alert_limit:
-        alerts = newest(alerts, alert_limit)
+def kpis(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row over all incidents and alerts: one aggregate per table, that of the alerts as a one-row subquery."""
     left, right = incident_kpis(incidents), alert_kpis(alerts)
-    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+    alert_row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_a", alert_row).select(*left.columns, "_a.*")
 
 
 def score_histogram(alerts: DataFrame, bins: int = 20, score: str = "anomaly_score") -> DataFrame:

@@ -25,10 +25,9 @@ def _struct(fields: T.StructType, values: dict, prefix: str) -> Column:
 
 
 def event_columns(values: dict[str, Column]) -> list[Column]:
-    """All columns of the event schema from dotted paths; what is not given is null."""
+    """All columns of the event schema from dotted paths; what is not given is null. ``log.raw`` is still
+    the whole record, for ``with_custody_hash`` to hash and cut."""
     values = dict(values)
-    if "log.raw" in values:
-        values["log.raw"] = F.substring(values["log.raw"], 1, RAW_LIMIT)
     out = []
     for f in EVENT:
         if isinstance(f.dataType, T.StructType):
@@ -52,13 +51,16 @@ def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_custody_hash(events: DataFrame, skip: Column | None = None) -> DataFrame:
-    """Fill ``related.hash`` with the SHA-256 of the event without its id and hash."""
+    """Fill ``related.hash`` with the SHA-256 of the event without its id and hash, the whole raw record
+    included, and cut ``log.raw`` to its limit."""
     event = F.col("event").dropFields("id").alias("event")
-    body = F.to_json(F.struct("timestamp", event, "source", "destination", "user", "host", "log"))
+    content = [event if f.name == "event" else F.col(f.name) for f in EVENT if f.name not in ("id", "related")]
+    body = F.to_json(F.struct(*content))
     digest = F.concat(F.lit("sha256:"), F.sha2(body, 256))
     if skip is not None:
         digest = F.when(~skip, digest)
-    return events.withColumn("related", F.struct(digest.alias("hash")))
+    return events.withColumns({"related": F.struct(digest.alias("hash")),
+                               "log": F.col("log").withField("raw", F.substring("log.raw", 1, RAW_LIMIT))})
 
 
 def filled_time(parsed: Column, ingest_time) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ALERT_STATUSES, INCIDENT_STATUSES
@@ -53,8 +53,9 @@ def split_changes(changes: DataFrame, known: DataFrame, allowed: list[str] = INC
 
 
 def status_actions(changes: DataFrame) -> DataFrame:
+    """Ledger actions of status changes; (ts, seq) orders them."""
     return changes.select("incident_id", F.concat(F.lit("status_changed_to_"), "new_status").alias("action"),
-                          "actor", iso_text("ts").alias("timestamp"))
+                          "actor", iso_text("ts").alias("timestamp"), "ts", "seq")
 
 
 def current_state(table: DataFrame, changes: DataFrame, key: str = "incident_id") -> DataFrame:
@@ -69,14 +70,19 @@ def current_state(table: DataFrame, changes: DataFrame, key: str = "incident_id"
 
 
 def alert_change_payloads(alerts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Ledger payloads of alert status changes with the true previous status; an alert without
-    an incident goes to the orphan ledger."""
-    owned = changes.join(alerts.select(F.col("id").alias("alert_id"), "incident_id",
-                                       F.col("status").alias("_old")), "alert_id")
+    """Ledger payloads of the valid alert status changes in the order (ts, seq).
+
+    The previous status is that of the alert's change before, or of the table for the first one. An alert
+    without an incident goes to the orphan ledger; changes with an unknown status or alert are left out.
+    """
+    valid, _ = split_changes(changes, alerts.select("id"), ALERT_STATUSES, "alert_id")
+    start = alerts.select(F.col("id").alias("alert_id"), "incident_id", F.col("status").alias("_start"))
+    before = F.lag("new_status").over(Window.partitionBy("alert_id").orderBy("ts", "seq", "new_status", "actor"))
+    owned = valid.join(start, "alert_id").withColumn("_old", F.coalesce(before, "_start"))
     payload = F.to_json(F.struct(F.lit("alert_status_updated").alias("action"), "alert_id",
                                  F.col("_old").alias("from"), F.col("new_status").alias("to"), "actor"))
     return owned.select(F.coalesce("incident_id", F.lit("inc_orphan")).alias("incident_id"),
-                        payload.alias("payload"), iso_text("ts").alias("timestamp"))
+                        payload.alias("payload"), iso_text("ts").alias("timestamp"), "ts", "seq")
 
 
 def approval_payloads(approvals: DataFrame) -> DataFrame:

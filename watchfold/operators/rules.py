@@ -74,7 +74,7 @@ def rule_context(events: DataFrame, *keys: str, **options) -> DataFrame:
 def with_rule_hits(contexts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``rule_hits``: all rules whose condition holds, in rule order. No shuffle, no join.
 
-    A condition that fails on a row's values counts as not met.
+    ``split_rules`` leaves out conditions that could fail on a row's values (arithmetic, conversions of text).
     """
     hits = [F.when(F.expr(r.condition), F.struct(
         F.lit(i).alias("ordinal"), F.lit(r.id).alias("rule_id"),
@@ -118,11 +118,11 @@ def with_technique(contexts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def attach_technique(df: DataFrame, techniques: DataFrame, key: str = "technique_id") -> DataFrame:
     """Name, tactic and description of each technique; an unknown id names itself.
 
-    The corpus is the published technique list, a few thousand rows at most.
+    The corpus holds each id once; Spark broadcasts it where its size allows.
     """
     meta = techniques.select(F.col("technique_id").alias("_t"), F.col("name").alias("_n"),
                              F.col("tactic").alias("_k"), F.col("description").alias("_d"))
-    return df.join(F.broadcast(meta), F.col(key) == F.col("_t"), "left").select(
+    return df.join(meta, F.col(key) == F.col("_t"), "left").select(
         *df.columns,
         F.coalesce("_n", F.col(key)).alias("technique_name"),
         F.coalesce(title_case_tactic(F.col("_k")), F.lit("Unknown")).alias("technique_tactic"),

@@ -177,7 +177,18 @@ def current_status(spark, sf):
 def status_ledger(spark, sf):
     good, _ = I.split_changes(status_changes(spark, sf), incident_table(spark, sf))
     actions = I.status_actions(good)
-    return L.chain_entries(actions).select("incident_id", "seq", "action", "this_hash")
+    return L.chain_entries(actions, order=("ts", "seq")).select("incident_id", "seq", "action", "this_hash")
+
+
+def alert_payloads(spark, sf):
+    """Three changes per alert, the second with an unknown status: what each ledger payload says."""
+    alerts = alert_table(spark, sf)
+    changes = alerts.selectExpr("id as alert_id", "explode(array(0, 1, 2)) as n", "created_at as ts").selectExpr(
+        "alert_id", "element_at(array('ack', 'bogus', 'closed'), n + 1) as new_status", "'lee' as actor", "ts",
+        "cast(n as bigint) as seq")
+    said = F.from_json("payload", "alert_id string, `from` string, `to` string")
+    return I.alert_change_payloads(alerts, changes).withColumn("p", said).select(
+        "incident_id", "seq", "p.alert_id", F.col("p.from").alias("old_status"), F.col("p.to").alias("new_status"))
 
 
 def acknowledged(spark, sf):
@@ -209,9 +220,9 @@ def created_tables(spark, sf):
     triaged = reliable(triaged_clusters(scored, usable_rules(spark)), "triaged")
     incidents = I.new_incidents(triaged, "run-1", NOW)
     root = shared_dir(spark, "incident-store")
-    append_table(incidents, root, "incidents")
-    append_table(I.new_alerts(anomalies(scored), incidents, NOW), root, "alerts")
-    append_table(L.chain_entries(I.creation_actions(incidents)), root, "ledger")
+    append_table(incidents, root, "incidents", "run-1")
+    append_table(I.new_alerts(anomalies(scored), incidents, NOW), root, "alerts", "run-1")
+    append_table(L.chain_entries(I.creation_actions(incidents)), root, "ledger", "run-1")
     inc, al, le = (read_table(spark, root, t) for t in ("incidents", "alerts", "ledger"))
     per = al.groupBy("incident_id").agg(F.count(F.lit(1)).alias("alerts"), F.max("anomaly_score").alias("top_score"),
                                         F.count_distinct("source_type").alias("sources"),
@@ -241,12 +252,6 @@ def kpi_query(spark, sf):
         "avg_resolution_minutes", F.round("avg_resolution_minutes", 4))
 
 
-def kpi_capped(spark, sf):
-    k = D.kpis(incident_table(spark, sf), alert_table(spark, sf), 500, 1000)
-    return k.withColumn("avg_score", F.round("avg_score", 6)).withColumn(
-        "avg_resolution_minutes", F.round("avg_resolution_minutes", 4))
-
-
 def histogram(spark, sf):
     return D.score_histogram(alert_table(spark, sf)).select(
         "bin", F.round("bin_start", 6).alias("bin_start"), "n", F.round("mean", 6).alias("mean"))
@@ -345,7 +350,7 @@ QUERIES = {
     "playbook_approvals": approvals, "incidents_created": created_tables, "alerts_created": created_alerts,
     "count_by_severity": count_query("severity"), "count_by_severity_default": count_query("severity", "low"),
     "count_by_status": count_query("status"), "alert_count_by_status": count_query("status", "open", alert_table),
-    "kpi_row": kpi_query, "kpi_row_newest": kpi_capped, "score_histogram": histogram,
+    "alert_change_payloads": alert_payloads, "kpi_row": kpi_query, "score_histogram": histogram,
     "score_histogram_fixed": histogram_edges, "alerts_per_day": daily, "alert_volume_week": weekly_volume,
     "events_per_minute": minutely, "technique_heat": heat, "technique_parents": parents,
     "technique_matrix": matrix, "navigator_layer": layer, "score_colours": colours, "age_labels": ages,
@@ -464,9 +469,10 @@ ORACLES = {
     "count_by_severity_default": f"{IA} SELECT coalesce(severity, 'low') AS severity, count(*) AS n FROM inc GROUP BY 1",
     "count_by_status": f"{IA} SELECT status, count(*) AS n FROM inc GROUP BY 1",
     "alert_count_by_status": f"{IA} SELECT coalesce(status, 'open') AS status, count(*) AS n FROM al GROUP BY 1",
+    "alert_change_payloads": f"""{IA} SELECT incident_id, CAST(0 AS BIGINT) AS seq, id AS alert_id, status AS old_status,
+          'ack' AS new_status FROM al
+        UNION ALL SELECT incident_id, 2, id, 'ack', 'closed' FROM al""",
     "kpi_row": f"{IA} SELECT * FROM (SELECT {KPI} FROM inc) CROSS JOIN (SELECT {AKPI} FROM al)",
-    "kpi_row_newest": f"""{IA} SELECT * FROM (SELECT {KPI} FROM (FROM inc ORDER BY created_at DESC, id LIMIT 500))
-        CROSS JOIN (SELECT {AKPI} FROM (FROM al ORDER BY created_at DESC, id LIMIT 1000))""",
     "score_histogram": f"""{IA}, s AS (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi, avg(anomaly_score) AS mean FROM al),
         b AS (SELECT least(floor((anomaly_score - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n
           FROM al CROSS JOIN s WHERE anomaly_score IS NOT NULL GROUP BY 1)

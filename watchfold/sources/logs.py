@@ -68,7 +68,8 @@ def read_events(spark: SparkSession, path, source_type: str, **kwargs) -> DataFr
 def split_bad(lines: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]:
     """Good records and a quarantine table; only JSON sources can hold malformed records.
 
-    The quarantine row names the file and a hash of the record instead of a line number.
+    The quarantine row names the file and a hash of the record instead of a line number; it keeps the whole
+    record, so that it can be replayed, and a preview of 500 characters.
     """
     if source_type.lower() != "cloudtrail":
         empty = lines.filter(F.lit(False))
@@ -82,7 +83,7 @@ def _quarantine(bad: DataFrame, source_type: str, error: str) -> DataFrame:
     path = F.col("path") if "path" in bad.columns else F.lit(None).cast("string")
     return bad.select(F.lit(source_type).alias("source_type"), path.alias("path"),
                       F.sha2("raw", 256).alias("record_hash"),
-                      F.substring("raw", 1, 500).alias("raw"),
+                      "raw", F.substring("raw", 1, 500).alias("preview"),
                       F.lit(error).alias("error"))
 
 

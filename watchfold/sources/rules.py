@@ -78,12 +78,26 @@ def condition_problem(condition: str) -> str | None:
     for word in re.findall(r"[A-Za-z_]\w*", bare):
         if word.lower() not in ALLOWED_WORDS and word not in CONTEXT_COLUMNS:
             return f"unknown name {word}"
+    if re.search(r"[+*/%&|^~]|[\w')]\s*-", bare):
+        return "arithmetic"
     for call in re.findall(r"([A-Za-z_]\w*)\s*\(", bare):
         if call.lower() not in ALLOWED_FUNCTIONS:
             return f"call of {call}"
     return None
 
 
+def failing_cast(probe: DataFrame, condition: str) -> str | None:
+    """The first implicit conversion in the analyzed condition that may fail on a row's values: of anything but a
+    number to a type other than text."""
+    plan = probe.sparkSession.sql(f"EXPLAIN EXTENDED SELECT {condition} AS c FROM {{probe}}", probe=probe).first()[0]
+    analyzed = plan.split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0]
+    for value, kind in re.findall(r"\bcast\((.*?)(?:#\d+L?)? as (\w+)", analyzed):
+        number = CONTEXT_COLUMNS.get(value) in ("int", "double") or re.fullmatch(r"-?[\d.]+(E-?\d+)?", value)
+        if kind != "string" and not number:
+            return f"conversion of {value} to {kind}"
+    return None
+
+
 def split_rules(spark: SparkSession, rules: list[Rule]) -> tuple[list[Rule], list[tuple[Rule, str]]]:
     """Usable rules, and those left out with the reason; checked against the typed context."""
     probe = spark.createDataFrame([], CONTEXT_DDL)
@@ -93,7 +107,7 @@ def split_rules(spark: SparkSession, rules: list[Rule]) -> tuple[list[Rule], lis
         if problem is None:
             try:
                 kind = probe.select(F.expr(rule.condition).alias("c")).schema["c"].dataType.typeName()
-                problem = None if kind == "boolean" else f"not a boolean but {kind}"
+                problem = failing_cast(probe, rule.condition) if kind == "boolean" else f"not a boolean but {kind}"
             except Exception as exc:  # the analyzer's own message
                 problem = str(exc).splitlines()[0]
         if problem:
@@ -125,16 +139,21 @@ BUNDLE = ("objects array<struct<type: string, name: string, description: string,
 
 
 def read_techniques(spark: SparkSession, bundle_path: str | None = None) -> DataFrame:
-    """ATT&CK patterns of a STIX bundle with their first kill-chain phase, else the fallback."""
+    """ATT&CK patterns of a STIX bundle with their first kill-chain phase; techniques the bundle lacks come
+    from the fallback. Each id once: of repeated ids the first by name and text."""
     if bundle_path is None:
         return fallback_techniques(spark)
     objects = (spark.read.schema(BUNDLE).json(bundle_path, multiLine=True)
                .select(F.explode("objects").alias("o")).filter("o.type = 'attack-pattern'"))
     refs = F.filter("o.external_references", lambda r: r["source_name"] == "mitre-attack")
-    return objects.select(
+    given = objects.select(
         F.try_element_at(refs, F.lit(1))["external_id"].alias("technique_id"),
         F.col("o.name").alias("name"),
         F.coalesce(F.try_element_at(F.col("o.kill_chain_phases"), F.lit(1))["phase_name"],
                    F.lit("Unknown")).alias("tactic"),
         F.coalesce("o.description", F.lit("No description available.")).alias("description"),
     ).filter("technique_id is not null")
+    both = given.withColumn("_rank", F.lit(0)).unionByName(
+        fallback_techniques(spark).withColumn("_rank", F.lit(1)))
+    first = both.groupBy("technique_id").agg(F.min(F.struct("_rank", "name", "tactic", "description")).alias("_t"))
+    return first.select("technique_id", "_t.name", "_t.tactic", "_t.description")

@@ -26,11 +26,17 @@ def write_snapshots(features: DataFrame, path: str, mode: str = "append") -> Non
         .partitionBy("week").parquet(path)
 
 
-def append_table(df: DataFrame, root: str, name: str) -> None:
-    """Append to one of the three incident tables; columns as declared, in order."""
-    columns = [f.split()[0] for f in TABLES[name].split(", ")]
-    df.select(*columns).write.mode("append").parquet(f"{root}/{name}")
+def _columns(name: str) -> list[str]:
+    return [f.split()[0] for f in TABLES[name].split(", ")]
+
+
+def append_table(df: DataFrame, root: str, name: str, run: str) -> None:
+    """Add the rows of a run to one of the three incident tables; columns as declared, in order.
+
+    Each run overwrites its own directory, so a repeated run leaves one copy.
+    """
+    df.select(*_columns(name)).write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}").select(*_columns(name))
