@@ -81,6 +81,16 @@ def test_hamming_top_k(spark, count, spread):
     assert {tuple(r) for r in got} == brute_nearest(rows, asked, 4)
 
 
+def test_hamming_of_a_crowded_segment(spark):
+    """Most codes agree in their low half, so one value of a segment fills several blocks."""
+    draw = np.random.default_rng(5)
+    codes = [(int(c) << 32 | 7) if i % 3 else int(c) for i, c in enumerate(draw.integers(-(1 << 31), (1 << 31) - 1, 1500))]
+    rows = list(enumerate(codes))
+    base = spark.createDataFrame(rows, "id long, code long")
+    got = hamming.nearest(base.filter("id % 20 = 0"), base, 10).collect()
+    assert {tuple(r) for r in got} == brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 10)
+
+
 def test_hamming_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, code long")
     assert hamming.nearest(empty, empty).count() == 0

@@ -1,9 +1,13 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
 A code of 64 bits is cut into segments of about log2(n) bits; an index lists the distinct codes by segment and
-segment value. In round r a query asks each segment for the values at exactly r flipped bits. After round r
-all codes within ``segments * (r + 1) - 1`` bits have been met (pigeonhole), so a query is finished once its kth
-verified distance is not above that; the others go on with radius r + 1.
+segment value, in blocks of bounded length. In round r a query asks its segments for the values at exactly r
+flipped bits. After round r all codes within ``segments * (r + 1) - 1`` bits have been met (pigeonhole), so a query
+is finished once its kth verified distance is not above that; the others go on with radius r + 1.
+
+Once a query has k verified neighbours, the kth distance bounds it. Codes beyond the bound are dropped inside
+their block, and round r asks only the first ``bound - segments * r + 1`` segments: a code all of whose segments
+differ by r or more, and those segments by more than r, lies beyond the bound.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from watchfold.session import reliable
 
 BITS = 64
+BLOCK_BITS = 8  # a block of the index holds at most 2^8 codes
 
 
 def sign_code(vector: str) -> Column:
@@ -58,9 +63,14 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 10) -> DataFrame:
     count = codes.count()
     parts = _segments(count)
     which = F.array(*[F.struct(F.lit(j).alias("j"), _part(F.col("code"), s, w).alias("value")) for j, (s, w) in enumerate(parts)])
-    index = reliable(codes.select("code", F.col("ids")[0].alias("least"), F.size("ids").alias("n"), F.explode(which).alias("at"))
-                     .select("code", "least", "n", "at.j", "at.value"), "index")
-    active = asked.select(F.col("code").alias("q")).distinct()
+    listed = codes.select("code", F.col("ids")[0].alias("least"), F.size("ids").alias("n"), F.explode(which).alias("at"))
+    # Ranges over the code as well, so that a very common segment value is spread over tasks and blocks.
+    placed = (listed.select("at.j", "at.value", "code", "least", "n").repartitionByRange("j", "value", "code")
+              .sortWithinPartitions("j", "value", "code")
+              .withColumn("block", F.call_function("shiftright", F.monotonically_increasing_id(), F.lit(BLOCK_BITS))))
+    index = reliable(placed.groupBy("j", "value", "block").agg(F.collect_list(F.struct("code", "least", "n")).alias("codes"))
+                     .select("j", "value", "codes"), "index")
+    active = asked.select(F.col("code").alias("q"), F.lit(BITS).alias("bound")).distinct()
     state = codes.sparkSession.createDataFrame([], "q long, code long, d int, least long, n int")
     finished, radius = [], 0
     top = Window.partitionBy("q").orderBy("d", "least")
@@ -69,23 +79,32 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 10) -> DataFrame:
         probes = None
         for j, (s, w) in enumerate(parts):
             mask = F.explode(F.from_json(F.lit(masks[w]), "array<long>"))
-            one = active.select("q", mask.alias("mask")).select("q", F.lit(j).alias("j"), _part(F.col("q"), s, w).bitwiseXOR(F.col("mask")).alias("value"))
+            one = (active.filter(F.col("bound") >= len(parts) * radius + j).select("q", "bound", mask.alias("mask"))
+                   .select("q", "bound", F.lit(j).alias("j"), _part(F.col("q"), s, w).bitwiseXOR(F.col("mask")).alias("value")))
             probes = one if probes is None else probes.union(one)
-        apart = F.col("q").bitwiseXOR(F.col("code"))
-        flips = [F.bit_count(_part(apart, s, w)) for s, w in parts]
-        # Met for the first time: no segment is closer than the radius, and none before j is as close.
-        fresh = F.least(*flips) == radius if len(flips) > 1 else flips[0] == radius
-        for j, flip in enumerate(flips):
-            fresh = fresh & ((F.col("j") <= j) | (flip > radius))
+
+        def fresh(found: Column) -> Column:
+            """Within the bound and met for the first time: no segment is closer than the radius, none before j as close."""
+            apart = F.col("q").bitwiseXOR(found["code"])
+            flips = [F.bit_count(_part(apart, s, w)) for s, w in parts]
+            new = (F.bit_count(apart) <= F.col("bound")) & (F.array_min(F.array(*flips)) == radius)
+            for j, flip in enumerate(flips):
+                new = new & ((F.col("j") <= j) | (flip > radius))
+            return new
+
         # Spark takes exploded rows for as small as their source; a broadcast of them would have no bound.
-        met = probes.hint("merge").join(index, ["j", "value"]).filter(fresh).select("q", "code", F.bit_count(apart).alias("d"), "least", "n")
+        near = probes.hint("merge").join(index, ["j", "value"]).select("q", F.filter("codes", fresh).alias("codes"))
+        met = near.select("q", F.explode("codes").alias("found")).select(
+            "q", "found.code", F.bit_count(F.col("q").bitwiseXOR(F.col("found.code"))).alias("d"), "found.least", "found.n")
         ordered = state.union(met).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most)
         state = reliable(ordered.withColumn("sum", F.sum("n").over(top.rowsBetween(Window.unboundedPreceding, 0))), "nearest")
         reach = len(parts) * (radius + 1) - 1
         last = radius >= max(w for _, w in parts)
         done = state.filter(F.lit(last) | ((F.col("sum") >= most) & (F.col("d") <= reach))).select("q").distinct()
         finished.append(state.join(done, "q", "left_semi").select("q", "code", "d"))
-        active = reliable(active.join(done, "q", "left_anti"), "active")
+        bounds = state.filter(F.col("sum") >= most).groupBy("q").agg(F.min("d").alias("least_bound"))
+        active = reliable(active.join(done, "q", "left_anti").join(bounds, "q", "left")
+                          .select("q", F.coalesce("least_bound", "bound").alias("bound")), "active")
         if last or active.isEmpty():
             break
         state = state.join(done, "q", "left_anti").select("q", "code", "d", "least", "n")
