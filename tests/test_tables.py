@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from watchfold.operators import evaluation
 from watchfold.operators.incidents import alert_change_payloads
-from watchfold.operators.normalize_text import normalize_syslog
+from watchfold.operators.normalize_text import normalize_syslog, with_line_id
 from watchfold.operators.training import flow_features
 from watchfold.schema import FEATURES
 from watchfold.sources.logs import split_bad
@@ -47,6 +47,14 @@ def test_custody_hash_covers_the_whole_record(spark):
     assert rows[0].hash == rows[1].hash != rows[2].hash and {r.n for r in rows} == {1000}
 
 
+def test_ids_are_stable_and_equal_records_keep_their_own(spark):
+    lines = spark.createDataFrame([("f", "same")] * 300 + [("g", "same"), ("f", "other"), ("f", ""), (None, None)], "path string, raw string")
+    ids = [sorted((r.raw or "", r.line_id) for r in with_line_id(df).select("raw", "line_id").collect()) for df in (lines, lines.repartition(7))]
+    assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 304 and [r for r, _ in ids[0]].count("same") == 301
+    twice = lines.select("raw", "raw", "path")
+    assert with_line_id(twice).columns == ["raw", "raw", "path", "line_id"] and with_line_id(twice.limit(0)).count() == 0
+
+
 def test_quarantine_keeps_whole_records(spark):
     _, bad = split_bad(spark.createDataFrame([("{" + "y" * 2000,)], "raw string"), "cloudtrail")
     row = bad.first()

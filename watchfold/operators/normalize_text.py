@@ -35,7 +35,22 @@ def groups(text: Column, pattern: str, *indexes: int) -> Column:
 
 
 def with_line_id(lines: DataFrame) -> DataFrame:
-    return lines if "line_id" in lines.columns else lines.withColumn("line_id", F.expr("uuid()"))
+    """Add ``line_id``, a hash of the record (file path included, where known) and of its number among equal
+    records, so that reading the same files again gives the same ids.
+
+    Equal records are counted, which combines before the shuffle, and written out again by number; a record
+    that makes up a third of all rows does not meet in one task. A stream cannot count, its ids are drawn.
+    """
+    if "line_id" in lines.columns:
+        return lines
+    if lines.isStreaming:
+        return lines.withColumn("line_id", F.expr("uuid()"))
+    # By position, as files may repeat a column name.
+    names = [f"_{i}" for i in range(len(lines.columns))]
+    counted = lines.toDF(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("_count"))
+    numbered = counted.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), "_count")).alias("_number"))
+    made = evaluated_once(numbered, line_id=F.md5(F.to_json(F.struct(*names, "_number"))))
+    return made.drop("_number").toDF(*lines.columns, "line_id")
 
 
 def bsd_time(parts: Column, year: Column) -> Column:

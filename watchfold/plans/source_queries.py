@@ -98,6 +98,16 @@ def text_files_query(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_distinct("user.name").alias("users"))
 
 
+def stable_ids_query(spark, sf):
+    """The same files read twice, the second time dealt out in other splits: all ids differ and all come again."""
+    path = shared_dir(spark, "auth-again")
+    auth_lines(activity(spark, sf)).select("raw").write.text(path)
+    first = read_events(spark, path, "auth", year=2024, ingest_time=INGEST).select("id")
+    second = normalize_auth_log(read_lines(spark, path).repartition(7), 2024, INGEST).select("id", F.lit(1).alias("again"))
+    return first.join(second, "id", "left").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids"), F.count("again").alias("found_again"))
+
+
 def cloud_files_query(spark, sf):
     path = shared_dir(spark, "cloud-text")
     cloud_lines(activity(spark, sf)).select("raw").write.text(path)
@@ -161,6 +171,7 @@ QUERIES = {
     "event_contract": contract_query,
     "custody_hash": custody_query,
     "text_log_files": text_files_query,
+    "stable_event_ids": stable_ids_query,
     "json_log_files": cloud_files_query,
     "flow_csv_files": flow_files_query,
     "event_history_by_day": history_query,
@@ -274,6 +285,7 @@ ORACLES = {
         SELECT count(DISTINCT line) AS hashes, count(DISTINCT line) AS contents FROM t""",
     "text_log_files": f"""{R} SELECT {AUTH_ACTION} AS action, {AUTH_OUTCOME} AS outcome, count(*) AS n,
         count(DISTINCT CASE WHEN event_id % 9 < 6 THEN u END) AS users FROM r GROUP BY ALL""",
+    "stable_event_ids": "SELECT count(*) AS events, count(*) AS ids, count(*) AS found_again FROM events",
     "json_log_files": f"""{R} SELECT CASE WHEN broken THEN 'quarantine' ELSE {CLOUD_ACTION} END AS action,
         count(*) AS n FROM r GROUP BY ALL""",
     "flow_csv_files": f"""{R} SELECT {FLOW_ACTION} AS action, {FLOW_OUTCOME} AS outcome, count(*) AS n,

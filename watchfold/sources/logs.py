@@ -48,13 +48,16 @@ def read_lines(spark: SparkSession, path, stream: bool = False, **options) -> Da
 
 
 def read_flows(spark: SparkSession, path, stream_schema=None, **options) -> DataFrame:
-    """Flow CSV with a header; all columns text, names trimmed."""
+    """Flow CSV with a header; all columns text, names trimmed; ``path`` is the file, unless it has such a column."""
     options = {"header": True, "mode": "PERMISSIVE", **options}
     if stream_schema is not None:
         df = spark.readStream.schema(stream_schema).options(**options).csv(path)
     else:
         df = spark.read.options(**options).csv(path)
-    return df.toDF(*[c.strip() for c in df.columns])
+    names = [c.strip() for c in df.columns]
+    if "path" not in names:
+        df, names = df.select("*", "_metadata.file_path"), [*names, "path"]
+    return df.toDF(*names)
 
 
 def read_events(spark: SparkSession, path, source_type: str, **kwargs) -> DataFrame:
