@@ -11,7 +11,8 @@ from ..operators.normalize_flow import normalize_cicids
 from ..operators.normalize_text import normalize_auth_log, normalize_syslog
 from ..operators.training import seeded_sample, training_features
 from ..session import shared_dir
-from ..sources.logs import (list_source_types, read_events, read_flows, read_lines, split_bad, union_events)
+from ..sources.logs import (list_source_types, read_events, read_flows, read_lines, split_bad, split_flows,
+                            union_events)
 from ..sources.rules import load_rules, rules_frame, split_rules
 from ..sources.tables import write_events
 from .driver_tables import activity, security_events
@@ -126,6 +127,21 @@ def flow_files_query(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_distinct("destination.ip").alias("targets"))
 
 
+def flow_quarantine_query(spark, sf):
+    """Flow CSV in which some lines lost their last fields and some have one too many: events by action, and the quarantine."""
+    path = shared_dir(spark, "flow-broken")
+    rows = flow_rows(activity(spark, sf)).drop("line_id")
+    whole = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns])
+    packets = F.col("` Total Fwd Packets`").cast("int")
+    line = (F.when(packets % 10 == 3, F.array_join(F.slice(whole, 1, 8), ","))
+            .when(packets % 10 == 4, F.concat(F.array_join(whole, ","), F.lit(",extra"))).otherwise(F.array_join(whole, ",")))
+    rows.select(line.alias("value")).write.text(path)
+    good, bad = split_flows(spark, path, columns=rows.columns)
+    events = normalize_cicids(good, INGEST)
+    return (events.groupBy(F.col("event.action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(bad.groupBy(F.concat(F.lit("quarantine, "), "error").alias("action")).agg(F.count(F.lit(1)).alias("n"))))
+
+
 def history_query(spark, sf):
     """Events written as a table partitioned by day, then read for a range of hours."""
     path = shared_dir(spark, "history")
@@ -174,6 +190,7 @@ QUERIES = {
     "stable_event_ids": stable_ids_query,
     "json_log_files": cloud_files_query,
     "flow_csv_files": flow_files_query,
+    "flow_quarantine": flow_quarantine_query,
     "event_history_by_day": history_query,
     "rules_source": rules_query,
     "training_sample": sample_query,
@@ -290,6 +307,9 @@ ORACLES = {
         count(*) AS n FROM r GROUP BY ALL""",
     "flow_csv_files": f"""{R} SELECT {FLOW_ACTION} AS action, {FLOW_OUTCOME} AS outcome, count(*) AS n,
         count(DISTINCT CASE WHEN k % 7 > 0 THEN k END) AS targets FROM r GROUP BY ALL""",
+    "flow_quarantine": f"""{R} SELECT CASE WHEN k % 10 = 3 THEN 'quarantine, fields filled: ' || (8 - (k % 7 = 0)::INT) || ' of 11'
+          WHEN k % 10 = 4 THEN 'quarantine, fields filled: ' || (11 - (k % 7 = 0)::INT) || ' of 11' ELSE {FLOW_ACTION} END AS action,
+        count(*) AS n FROM r GROUP BY ALL""",
     "event_history_by_day": f"""WITH {EV} SELECT '2024-01-01' AS event_date, source_type, count(*) AS n FROM e
         WHERE us < 1704067200000000 + 86400000000 GROUP BY ALL""",
     "training_sample": "SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS ids FROM events",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..operators.normalize_cloud import normalize_cloudtrail, parsed_records
@@ -13,6 +14,7 @@ from ..operators.normalize_flow import normalize_cicids
 from ..operators.normalize_text import normalize_auth_log, normalize_syslog
 
 Normalizer = Callable[..., DataFrame]
+BROKEN = "_broken_line"
 
 _REGISTRY: dict[str, Normalizer] = {
     "syslog": normalize_syslog,
@@ -60,6 +62,25 @@ def read_flows(spark: SparkSession, path, stream_schema=None, **options) -> Data
     return df.toDF(*names)
 
 
+def split_flows(spark: SparkSession, path, columns: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Flow CSV as good rows, as ``read_flows`` has them, and a quarantine table of the lines that have another
+    number of fields than the header, or than ``columns`` where the files have none."""
+    options = {"header": columns is None, **options}
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns or spark.read.options(**options).csv(path).columns])
+    fields = [F.col(f"`{c}`") for c in schema.names]
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])).options(
+        **options, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN).csv(path)
+    names = [c.strip() for c in schema.names]
+    file = [] if "path" in names else [F.col("_metadata.file_path")]
+    good = rows.filter(F.col(BROKEN).isNull()).select(*fields, *file).toDF(*names, *["path" for _ in file])
+    # The reader gives no broken line without its fields, so they are counted.
+    filled = F.size(F.array_compact(F.array(*fields)))
+    error = F.concat(F.lit("fields filled: "), filled.cast("string"), F.lit(f" of {len(fields)}"))
+    bad = rows.filter(F.col(BROKEN).isNotNull()).select(
+        F.col(BROKEN).alias("raw"), F.col("_metadata.file_path").alias("path"), error.alias("found"))
+    return good, _quarantine(bad, "cicids", F.col("found"))
+
+
 def read_events(spark: SparkSession, path, source_type: str, **kwargs) -> DataFrame:
     """Raw files of one source type as events; bad records are left to ``split_bad``."""
     normalize = get_normalizer(source_type)
@@ -69,7 +90,7 @@ def read_events(spark: SparkSession, path, source_type: str, **kwargs) -> DataFr
 
 
 def split_bad(lines: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]:
-    """Good records and a quarantine table; only JSON sources can hold malformed records.
+    """Good records and a quarantine table; of lines, only JSON ones can be malformed (CSV: ``split_flows``).
 
     The quarantine row names the file and a hash of the record instead of a line number; it keeps the whole
     record, so that it can be replayed, and a preview of 500 characters.
@@ -82,7 +103,7 @@ def split_bad(lines: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]
     return good, _quarantine(parsed.filter("bad"), source_type, "not a JSON object")
 
 
-def _quarantine(bad: DataFrame, source_type: str, error: str) -> DataFrame:
+def _quarantine(bad: DataFrame, source_type: str, error: str | Column) -> DataFrame:
     path = F.col("path") if "path" in bad.columns else F.lit(None).cast("string")
     return bad.select(F.lit(source_type).alias("source_type"), path.alias("path"),
                       F.sha2("raw", 256).alias("record_hash"),
