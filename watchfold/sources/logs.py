@@ -72,11 +72,11 @@ def split_flows(spark: SparkSession, path, columns: list[str] | None = None, **o
         **options, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN).csv(path)
     names = [c.strip() for c in schema.names]
     file = [] if "path" in names else [F.col("_metadata.file_path")]
-    good = rows.filter(F.col(BROKEN).isNull()).select(*fields, *file).toDF(*names, *["path" for _ in file])
-    # The reader gives no broken line without its fields, so they are counted.
+    # The reader refuses to give the broken lines without any field, so both filters count the fields.
     filled = F.size(F.array_compact(F.array(*fields)))
+    good = rows.filter(F.col(BROKEN).isNull() & (filled >= 0)).select(*fields, *file).toDF(*names, *["path" for _ in file])
     error = F.concat(F.lit("fields filled: "), filled.cast("string"), F.lit(f" of {len(fields)}"))
-    bad = rows.filter(F.col(BROKEN).isNotNull()).select(
+    bad = rows.filter(F.col(BROKEN).isNotNull() & (filled >= 0)).select(
         F.col(BROKEN).alias("raw"), F.col("_metadata.file_path").alias("path"), error.alias("found"))
     return good, _quarantine(bad, "cicids", F.col("found"))
 
