@@ -319,6 +319,24 @@ def test_packing_prefers_lexical_neighbours():
     assert all(len(w) == 1 for s, w in windows.items() if s < 2)
 
 
+def test_neighbours_are_scored_over_all_shared_terms():
+    """Document 1 shares the 20 most telling terms of the seed, document 2 forty lesser ones, document 3 only the end id."""
+    idf = np.ones(1 << 16, dtype=np.float32)
+    idf[100:120] = 1.1
+    docs = [np.array([*x, 2], dtype=np.uint16) for x in (range(100, 160), range(100, 120), range(120, 160), range(300, 320))]
+    index, unused = packing.Index(docs, idf, 40, end=2), np.array([False, True, True, True])
+    assert index.neighbours(docs[0], unused).tolist() == [2, 1]
+    unused[2] = False
+    assert index.neighbours(docs[0], unused).tolist() == [1] and not set(index.doc.tolist()) & {0, 2}
+
+
+def test_gaps_are_filled_by_shared_terms_before_length():
+    """A seed that runs out of neighbours is followed by the longest document and then that one's own neighbours."""
+    docs = [np.full(n, t, dtype=np.uint16) for n, t in ((40, 5), (30, 9), (20, 7), (10, 9))]
+    pieces = packing.pack_shard(docs, packing.Index(docs, np.ones(1 << 16, dtype=np.float32), 25), 80)
+    assert [i for i, _, _, sequence, _ in pieces if sequence == 0] == [0, 1, 3]
+
+
 # --- mixing ---------------------------------------------------------------------------------------------
 
 def test_shortage_goes_to_siblings_first(spark):

@@ -2,9 +2,10 @@
 
 Documents are encoded once and dealt into shards of about ``shard_tokens`` tokens by a hash of the row. A shard
 holds an inverted index over token ids with BM25 weights (document frequencies and lengths are those of the whole
-table). Full windows are cut from long documents first. Then a seed document opens a window, and the unused
-neighbours that the index returns for it fill the window greedily, best first; the best one that no longer fits
-is cut, and what is left of it seeds the next window. The last, short window of a shard is cut at powers of two.
+table). Full windows are cut from long documents first. Then a seed document opens a window, and all unused
+documents of the shard that share a term with it fill the window greedily, best first; the best one that no longer
+fits is cut, and what is left of it seeds the next window. Only where no unused document shares a term with the
+seed does the longest unused one follow, as the next seed. The last, short window of a shard is cut at powers of two.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from watchfold.llm import tokens as T
 from watchfold.session import reliable
 
 K1, B = 1.2, 0.75
-TERMS = 16
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
@@ -59,28 +59,38 @@ def document_frequencies(coded: DataFrame) -> np.ndarray:
     return out
 
 
+def bm25(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 class Index:
-    """BM25 postings of one shard."""
+    """BM25 postings of the unused documents of one shard; the id ``end`` of all documents is no term."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf = idf
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, end: int | None = None):
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
         term, doc = pair // len(docs), pair % len(docs)
-        length = np.array([len(d) for d in docs])[doc]
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        self.doc, self.size = doc, len(docs)
+        weight = bm25(idf[term], tf, np.array([len(d) for d in docs])[doc], mean)
+        text = term != (-1 if end is None else end)
+        self.size = len(docs)
+        self._keep(term[text], doc[text], weight[text].astype(np.float64))
+
+    def _keep(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.term, self.doc, self.weight = term, doc, weight
         self.first = np.searchsorted(term, np.arange((1 << 16) + 1))
+        self.postings = np.bincount(doc, minlength=self.size)
 
     def neighbours(self, ids: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the most telling terms of ``ids``, best first."""
-        terms = np.unique(ids).astype(np.int64)
-        shared = terms[self.first[terms + 1] - self.first[terms] > 1]
-        terms = shared[np.argsort(-self.idf[shared], kind="stable")[:TERMS]]
-        if not len(terms):
+        """Unused documents that share a term with ``ids``, by the BM25 score over all shared terms, best first."""
+        if 2 * self.postings[unused].sum() < len(self.doc):
+            some = unused[self.doc]
+            self._keep(self.term[some], self.doc[some], self.weight[some])
+        terms = np.unique(ids)
+        spans = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms.astype(np.int64) + 1].tolist()) if a < b]
+        if not spans:
             return np.zeros(0, dtype=np.int64)
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
-        score = np.bincount(self.doc[at], self.weight[at], minlength=self.size)
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]),
+                            minlength=self.size)
         score[~unused] = 0
         some = np.flatnonzero(score)
         return some[np.argsort(-score[some], kind="stable")]
@@ -113,20 +123,25 @@ def pack_shard(docs: list[np.ndarray], index: Index, window: int) -> list[tuple[
     while unused.any():
         if seed is None:
             seed = next(i for i in order if unused[i])
-        put(seed)
-        ranked = index.neighbours(docs[seed], unused)
-        for i in ranked.tolist():
-            if size[i] - start[i] <= window - filled:
-                put(i)
-                if filled == window:
+        rest = seed if put(seed) else None
+        if filled < window:
+            ranked = index.neighbours(docs[seed], unused)
+            left, at = size[ranked] - start[ranked], 0
+            taken = np.zeros(len(ranked), dtype=bool)
+            while filled < window:
+                fits = left[at:] <= window - filled
+                step = int(fits.argmax()) if len(fits) else 0
+                if not len(fits) or not fits[step]:
                     break
-        seed = None
-        left = [i for i in ranked.tolist() if unused[i]] if filled < window else []
-        if left:
-            seed = left[0] if put(left[0]) else None
-        while filled < window and unused.any():
-            i = next(j for j in order if unused[j])
-            seed = i if put(i) else None
+                at += step
+                put(int(ranked[at]))
+                taken[at] = True
+                at += 1
+            if filled < window and not taken.all():
+                best = int(ranked[taken.argmin()])
+                rest = best if put(best) else None
+        seed = rest
+        # A window that nothing else of the shard shares a term with stays open for the next seed.
         if filled == window:
             out += [(i, s, n, sequence, at) for i, s, n, at in current]
             sequence, filled, current = sequence + 1, 0, []
@@ -163,7 +178,7 @@ def pack(docs: DataFrame, window: int = 4096, vocabulary: str = "word_bpe_49k.js
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("slot", "ascending")]).combine_chunks()
         texts = [np.frombuffer(x, dtype="<u2") for x in group["ids"].to_pylist()]
-        pieces = pack_shard(texts, Index(texts, hidden, mean), window)
+        pieces = pack_shard(texts, Index(texts, hidden, mean, end), window)
         doc = np.array([p[0] for p in pieces])
         crc = [zlib.crc32(texts[i][s:s + n].astype("<u4").tobytes()) for i, s, n, _, _ in pieces]
         shard = group["shard"][0].as_py() << 32
