@@ -337,6 +337,26 @@ def test_gaps_are_filled_by_shared_terms_before_length():
     assert [i for i, _, _, sequence, _ in pieces if sequence == 0] == [0, 1, 3]
 
 
+def test_related_documents_meet_in_one_shard(texts):
+    """Sixty topics of four documents, mixed: each topic's two words are its own, the rest is common to all."""
+    whole, draw = T.word_ids("word_bpe_49k.json").whole, random.Random(6)
+    words = [w for w in (whole.decode([i]).strip() for i in range(8000, 14000)) if w.isascii() and w.isalpha() and len(w) > 4]
+    common, own = words[:40], words[40:160]
+    pairs = [(10 * t + k, " ".join([*[own[2 * t], own[2 * t + 1]] * 8, *draw.choices(common, k=30)])) for t in range(60) for k in range(4)]
+    rows = packing.pack(texts(*pairs), window=256, shard_tokens=1500).collect()
+    shards = [{r.sequence_id >> 32 for r in rows if r.doc_id // 10 == t} for t in range(60)]
+    assert len(set().union(*shards)) >= 8 and sum(len(s) == 1 for s in shards) >= 57
+    check_pieces(rows, pairs, 256)
+
+
+def test_a_hot_key_has_shards_of_its_own(texts):
+    pairs = [(i, "the same few words again") for i in range(300)] + [(1000 + i, t) for i, t in enumerate(["", None, "solitary", *made(3, 20)])]
+    rows = packing.pack(texts(*pairs), window=64, shard_tokens=2000).collect()
+    check_pieces(rows, pairs, 64)
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(sizes) >= 8 and max(sizes.values()) <= 100
+
+
 # --- mixing ---------------------------------------------------------------------------------------------
 
 def test_shortage_goes_to_siblings_first(spark):

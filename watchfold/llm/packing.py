@@ -1,6 +1,7 @@
 """Packing of tokenized documents into training sequences, by lexical retrieval.
 
-Documents are encoded once and dealt into shards of about ``shard_tokens`` tokens by a hash of the row. A shard
+Documents are encoded once and dealt into shards of about ``shard_tokens`` tokens by content: in the order of their
+two most telling terms, by frequencies of the whole table, so that related documents meet at any size. A shard
 holds an inverted index over token ids with BM25 weights (document frequencies and lengths are those of the whole
 table). Full windows are cut from long documents first. Then a seed document opens a window, and all unused
 documents of the shard that share a term with it fill the window greedily, best first; the best one that no longer
@@ -14,13 +15,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchfold.llm import tokens as T
 from watchfold.session import reliable
 
 K1, B = 1.2, 0.75
+LEAST = 64  # a document counts as so many tokens at least when shards are cut, so none has very many rows
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
@@ -63,6 +65,61 @@ def bm25(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def telling_terms(coded: DataFrame, idf: np.ndarray, shared: np.ndarray, mean: float, end: int) -> DataFrame:
+    """(slot, n, load, key) of ``coded``: ``key`` packs the two terms of highest BM25 weight among those that other
+    documents have too, or is null without any."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [key_of(np.frombuffer(x, dtype="<u2"), idf, shared, mean, end) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["slot", "n", "key"])
+
+    keyed = coded.select("slot", "n", "ids").mapInArrow(run, "slot long, n long, key long")
+    return keyed.withColumn("load", F.greatest("n", F.lit(LEAST)))
+
+
+def key_of(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean: float, end: int) -> int | None:
+    terms, tf = np.unique(ids, return_counts=True)
+    ok = shared[terms] & (terms != end)
+    terms, tf = terms[ok], tf[ok]
+    if not len(terms):
+        return None
+    best = terms[np.argsort(-bm25(idf[terms], tf, len(ids), mean), kind="stable")[:2]].tolist()
+    return best[0] << 16 | (best[1] if len(best) > 1 else 0)
+
+
+class Deal:
+    """Shards as ranges of keys of about ``shard_tokens`` each; a key with more than that has shards of its own, by hash."""
+
+    def __init__(self, keyed: DataFrame, shard_tokens: int):
+        loads = keyed.groupBy("key").agg(F.sum("load").alias("load")).withColumn("term", F.shiftright("key", 16))
+        loads = reliable(loads, "keys")
+        total = loads.agg(F.sum("load")).first()[0] or 0
+        loads = loads.filter("key is not null")
+        # One row per leading term, at most 65,536, then the keys of each term in order.
+        tops = loads.groupBy("term").agg(F.sum("load").alias("all"))
+        past = Window.rowsBetween(Window.unboundedPreceding, -1)
+        tops = tops.withColumn("before", F.coalesce(F.sum("all").over(past.partitionBy(F.lit(0)).orderBy("term")), F.lit(0))).drop("all")
+        placed = loads.join(tops, "term").withColumn(
+            "at", F.col("before") + F.coalesce(F.sum("load").over(past.partitionBy("term").orderBy("key")), F.lit(0)))
+        hot = F.when(F.col("load") > shard_tokens, F.col("key"))
+        rows = placed.groupBy(F.floor(F.col("at") / shard_tokens).alias("range"), hot.alias("hot")).agg(
+            F.min("key").alias("key"), F.max("load").alias("load")).collect()
+        # At most two rows for each shard: its first key, and a hot key in it; what follows a hot key is in a later range.
+        starts = {r["key"]: -(-r["load"] // shard_tokens) if r["hot"] is not None else 1 for r in rows}
+        self.starts = np.array(sorted(starts), dtype=np.int64)
+        self.parts = np.array([starts[k] for k in self.starts.tolist()], dtype=np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.shards = max(1, int(self.parts.sum()), -(-total // shard_tokens))
+
+    def shard(self, key: int | None, slot: int) -> int:
+        """Documents that share no term with any other go anywhere."""
+        if key is None:
+            return slot % self.shards
+        j = int(np.searchsorted(self.starts, key, side="right")) - 1
+        return int(self.first[j]) + slot % int(self.parts[j])
+
+
 class Index:
     """BM25 postings of the unused documents of one shard; the id ``end`` of all documents is no term."""
 
@@ -172,8 +229,16 @@ def pack(docs: DataFrame, window: int = 4096, vocabulary: str = "word_bpe_49k.js
     rows, total = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     seen = document_frequencies(coded)
     idf = np.log(1 + (rows - seen + 0.5) / (seen + 0.5))
-    mean, shards = total / max(rows, 1), max(1, -(-total // shard_tokens))
+    mean = total / max(rows, 1)
     hidden = idf.astype(np.float32)
+    shared = seen > 1
+    deal = Deal(telling_terms(coded, hidden, shared, mean, end), shard_tokens)
+
+    def place(batches):
+        for batch in batches:
+            ids, slots = batch.column("ids").to_pylist(), batch.column("slot").to_pylist()
+            shard = [deal.shard(key_of(np.frombuffer(x, dtype="<u2"), hidden, shared, mean, end), s) for x, s in zip(ids, slots)]
+            yield batch.append_column("shard", pa.array(shard, pa.int64()))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("slot", "ascending")]).combine_chunks()
@@ -188,5 +253,5 @@ def pack(docs: DataFrame, window: int = 4096, vocabulary: str = "word_bpe_49k.js
             "doc_tokens": group["n"].take(pa.array(doc)), "sequence_id": pa.array([shard + p[3] for p in pieces], pa.int64()),
             "offset": pa.array([p[4] for p in pieces], pa.int64())})
 
-    return coded.withColumn("shard", F.pmod("slot", F.lit(shards))).groupBy("shard").applyInArrow(
+    return coded.mapInArrow(place, f"{', '.join(f'{c} {t}' for c, t in coded.dtypes)}, shard long").groupBy("shard").applyInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
