@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfold.operators import scoring
-from watchfold.operators.autoencoder import LAYERS, gradient, initial_weights, squared_errors, unpack
+from watchfold.operators.autoencoder import LAYERS, adam, gradient, initial_weights, squared_errors, train_autoencoder, unpack
 from watchfold.operators.forest import anomaly, forest_arrays, train_forest, tree_samples
 from watchfold.operators.training import benign_only, scale_by, seeded_sample
 from watchfold.schema import FEATURES
@@ -72,3 +72,33 @@ def test_scaling_skips_empty_columns(spark):
     df = spark.createDataFrame([tuple([2.0] * 9)], FEATURES)
     r = scale_by(df, {**dict.fromkeys(FEATURES, 4.0), "tod_zscore": 0.0}).first()
     assert r.event_count_1m == 0.5 and r.tod_zscore == 2.0
+
+
+def test_steps_use_gradient_sums_over_all_rows(normal):
+    batch = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(2))
+    x = {b: np.array([list(r) for r in normal.filter(batch == b).select(*FEATURES).collect()]) for b in (0, 1)}
+    state = {"w": initial_weights(42), "t": 0, "m": 0.0, "v": 0.0}
+    for epoch in range(2):
+        for b in np.random.default_rng([42, epoch]).permutation(2).tolist():
+            adam(gradient(x[b], state["w"]), state, 0.001)
+    for parts in (1, 7):
+        assert train_autoencoder(normal.repartition(parts), epochs=2, steps=2) == pytest.approx(state["w"], abs=1e-9)
+
+
+def test_models_are_fitted_on_all_rows(spark, monkeypatch):
+    from watchfold.plans import model_queries as q
+    seen = []
+    monkeypatch.setattr(q.scoring, "train", lambda rows, path: seen.append(rows.count()))
+    monkeypatch.setattr(q.scoring, "load", lambda spark, path: None)
+    monkeypatch.setattr(q.scoring, "score", lambda rows, model: rows)
+    monkeypatch.setattr(q.scoring, "contamination_threshold", lambda rows: seen.append(rows.count()))
+    monkeypatch.setattr(q.scoring, "with_outlier_flag", lambda rows, limit: rows.withColumn("anomaly_score", F.lit(0)).withColumn("is_outlier", F.lit(0)))
+    rows = spark.range(10_500).withColumn("id", F.col("id").cast("string"))
+    q.trained_on_events(spark, rows)
+    q.trained_on_events(spark, rows, sample=50)
+    monkeypatch.setattr(q, "activity", lambda spark, sf: None)
+    monkeypatch.setattr(q, "flow_rows", lambda rows: None)
+    flows = spark.range(11_000).select(F.col("id").cast("string").alias("line_id"), F.lit("BENIGN").alias("Label"))
+    monkeypatch.setattr(q, "flow_features", lambda flow: flows)
+    q.flow_scores(spark, None)
+    assert seen == [10_500, 50, 11_000, 11_000]

@@ -1,9 +1,9 @@
-"""Autoencoder 9-32-16-8-16-32-9 with ReLU, trained by mini-batch Adam in parallel shards.
+"""Autoencoder 9-32-16-8-16-32-9 with ReLU, trained by mini-batch Adam on gradient sums.
 
-Each epoch every shard runs its mini-batches from the same start; the weights and moments are
-then averaged by row count in Spark and handed to the next epoch. One shard is plain sequential
-training; more shards appear only when there are more rows than one should take. Only the
-1,969 weights (and as many moments) ever reach the driver.
+A hash of the key deals all rows to batches of at least 256, at most 40 of them, so batches grow with
+the table and the number of steps does not. Each step sums the gradient over all rows of its batch in
+the tasks, and Adam moves the weights on the driver; an epoch uses every batch once, in its own order.
+Only the 1,969 gradient sums reach the driver. Repeats agree up to the rounding of sums.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
+from ..session import shared_dir
 
 LAYERS = [9, 32, 16, 8, 16, 32, 9]
 LINEAR = {2, 5}  # the bottleneck and the output have no ReLU
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.001, 42
-SHARD_ROWS = 100_000
+STEPS = 40  # of an epoch, at most
 
 
 def shapes() -> list[tuple[int, int]]:
@@ -70,8 +71,7 @@ def gradient(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def adam(x: np.ndarray, state: dict, rate: float) -> None:
-    g = gradient(x, state["w"])
+def adam(g: np.ndarray, state: dict, rate: float) -> None:
     state["t"] += 1
     state["m"] = 0.9 * state["m"] + 0.1 * g
     state["v"] = 0.999 * state["v"] + 0.001 * g * g
@@ -85,44 +85,39 @@ def squared_errors(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 
 def train_autoencoder(features: DataFrame, key: str = "id", epochs: int = EPOCHS, batch: int = BATCH,
-                      rate: float = RATE, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> np.ndarray:
-    """Weights after training on the rows of ``features`` (scaled, benign)."""
-    names = list(FEATURES)
-    rows = features.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), *names).persist()
-    try:
-        shards = max(1, math.ceil(rows.count() / shard_rows))
-        state = {"w": initial_weights(seed)}
-        state.update(m=np.zeros_like(state["w"]), v=np.zeros_like(state["w"]), t=0)
-        for epoch in range(epochs):
-            state = _epoch(rows, names, state, epoch, shards, batch, rate)
-    finally:
-        rows.unpersist()
+                      rate: float = RATE, seed: int = SEED, steps: int = STEPS) -> np.ndarray:
+    """Weights after training on all rows of ``features`` (scaled, benign)."""
+    spark, path = features.sparkSession, shared_dir(features.sparkSession, "batches")
+    count = max(1, min(steps, math.ceil(features.count() / batch)))
+    number = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(count)).cast("int")
+    features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], number.alias("_b")).write.partitionBy("_b").parquet(path)
+    rows = spark.read.schema(", ".join(f"{c} double" for c in FEATURES) + ", _b int").parquet(path)
+    state = {"w": initial_weights(seed), "t": 0}
+    state.update(m=np.zeros_like(state["w"]), v=np.zeros_like(state["w"]))
+    for epoch in range(epochs):
+        for b in np.random.default_rng([seed, epoch]).permutation(count).tolist():
+            g = mean_gradient(rows.filter(F.col("_b") == b).select(*FEATURES), state["w"])
+            if g is not None:
+                adam(g, state, rate)
     return state["w"]
 
 
-def _epoch(rows: DataFrame, names: list[str], start: dict, epoch: int, shards: int, batch: int, rate: float) -> dict:
-    shuffled = rows.withColumn("_o", F.xxhash64("_h", F.lit(epoch))).repartition(shards, "_h").sortWithinPartitions("_o", "_h")
-    given = rows.sparkSession.sparkContext.broadcast(start)
+def mean_gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray | None:
+    """Gradient of the mean error over all ``rows`` (the features), summed in the tasks; None without rows."""
 
     def run(batches):
-        state = dict(given.value)
-        seen, rest = 0, np.empty((0, len(names)))
-        for pdf in batches:
-            rest = np.vstack([rest, pdf[names].to_numpy(dtype=float)])
-            while len(rest) >= batch:
-                adam(rest[:batch], state, rate)
-                seen, rest = seen + batch, rest[batch:]
-        if len(rest):
-            adam(rest, state, rate)
-            seen += len(rest)
+        total, seen = np.zeros(len(weights) + 1), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if len(x):
+                total[:-1] += gradient(x, weights) * len(x)
+                seen += len(x)
+        total[-1] = seen
         if seen:
-            flat = np.concatenate([state["w"], state["m"], state["v"], [state["t"]]])
-            yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat * seen, "n": float(seen)})
-
-    summed = shuffled.mapInPandas(run, "i int, x double, n double").groupBy("i").agg(
-        (F.sum("x") / F.sum("n")).alias("x"))
-    flat = summed.orderBy("i").toPandas()["x"].to_numpy()
-    if len(flat) == 0:
-        return start
-    size = (len(flat) - 1) // 3
-    return {"w": flat[:size], "m": flat[size:2 * size], "v": flat[2 * size:3 * size], "t": int(round(flat[-1]))}
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
+
+    sums = rows.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    if not len(sums):
+        return None
+    flat = sums.sort_values("i")["x"].to_numpy()
+    return flat[:-1] / flat[-1]

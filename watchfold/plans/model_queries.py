@@ -15,14 +15,15 @@ from .driver_tables import activity, security_events
 from .raw_lines import flow_rows
 
 
-def trained_on_events(spark, features):
+def trained_on_events(spark, features, sample: int | None = None):
+    """Models of all rows of ``features``, or of a seeded sample of so many."""
     path = shared_dir(spark, "model")
-    scoring.train(seeded_sample(features, key="id"), path)
+    scoring.train(features if sample is None else seeded_sample(features, sample, key="id"), path)
     return scoring.load(spark, path)
 
 
 def event_scores(spark, sf):
-    """Train on a seeded sample of the events' own features, then score all events."""
+    """Train on the features of all events, then score them."""
     features = reliable(extract_features(security_events(spark, sf)), "features")
     scored = scoring.score(features, trained_on_events(spark, features))
     return scored.select(F.col("id").cast("bigint").alias("event_id"), "anomaly_score",
@@ -30,10 +31,10 @@ def event_scores(spark, sf):
 
 
 def flow_scores(spark, sf):
-    """Train on a sample of benign flows, flag outliers among all flows by the 1 % quantile."""
+    """Train on all benign flows, flag outliers among all flows by the 1 % quantile of all benign ones."""
     flows = flow_rows(activity(spark, sf))
     features = reliable(flow_features(flows).withColumnRenamed("line_id", "id"), "flows")
-    benign = seeded_sample(benign_only(features), key="id")
+    benign = benign_only(features)
     path = shared_dir(spark, "flow-model")
     scoring.train(benign, path)
     model = scoring.load(spark, path)
