@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm import chat, forest, hamming, minhash, mixing, packing, pii, prefixes, quality, repeats
+from watchfold.llm import chat, forest, hamming, minhash, mixing, packing, pieces, pii, prefixes, quality, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(rows.filter("id % 20 = 0"), rows, k=10)
 
 
+def piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model"), "piece_bpe_32k.model")
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -94,7 +99,7 @@ QUERIES = {
     "op1_embedding_dedup": embedding_dedup, "op2_chat_format": chat_format, "op3_pii_spans": pii_spans,
     "op4_substring_dedup": substring_dedup, "op5_quality_scores": quality_scores, "op6_minhash_dedup": minhash_dedup,
     "op7_source_mix": source_mix, "op8_packed_sequences": packed_sequences, "op9_token_counts": token_counts,
-    "op10_hamming_top_k": hamming_top_k, "pipeline": pipeline,
+    "op10_hamming_top_k": hamming_top_k, "op11_piece_encoding": piece_encoding, "pipeline": pipeline,
 }
 
 _CHAT = """
