@@ -14,6 +14,7 @@ Arrow batch, and every decoded text is compared with the library's; a difference
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -35,22 +36,67 @@ MARK = "▁"
 MARK_BYTES = MARK.encode()
 
 
-class PieceIds:
-    """Symbols, pairs and the agenda of one vocabulary."""
+class Vocabulary:
+    """The model's file and the library's reading of it."""
 
     def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as format
-        model = format.ModelProto()
+        self.model = format.ModelProto()
         with open(path, "rb") as f:
-            model.ParseFromString(f.read())
-        rules, kinds = model.normalizer_spec, format.ModelProto.SentencePiece
-        if (model.trainer_spec.model_type != format.TrainerSpec.BPE or not model.trainer_spec.byte_fallback
+            self.model.ParseFromString(f.read())
+        rules, kinds = self.model.normalizer_spec, format.ModelProto.SentencePiece
+        if (self.model.trainer_spec.model_type != format.TrainerSpec.BPE or not self.model.trainer_spec.byte_fallback
                 or rules.precompiled_charsmap or not rules.add_dummy_prefix or rules.remove_extra_whitespaces
-                or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix
-                or any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces)):
+                or not rules.escape_whitespaces or self.model.trainer_spec.treat_whitespace_as_suffix
+                or any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in self.model.pieces)):
             raise ValueError("only merge-type vocabularies with byte fallback, without text normalization, are supported")
+        self.kinds = kinds
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class PieceTexts:
+    """The texts of ids."""
+
+    def __init__(self, path: str):
+        read = Vocabulary(path)
+        self.library, kinds, pieces = read.library, read.kinds, read.model.pieces
+        bodies = [p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL
+                  else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE
+                  else read.model.trainer_spec.unk_surface.encode() if p.type == kinds.UNKNOWN else b"" for p in pieces]
+        self.pieces = len(pieces)
+        self.is_text = np.array([p.type != kinds.CONTROL for p in pieces])
+        self.opens_marked = np.array([p.type == kinds.NORMAL and p.piece.startswith(MARK) for p in pieces])
+        self.body_at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+        self.body = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+
+    def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of rows of ids: the bodies of their pieces, without the mark that opens the first one."""
+        if len(flat) and not (0 <= flat.min() and flat.max() < self.pieces):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.body_at[flat + 1] - self.body_at[flat]
+        at = np.concatenate([[0], np.cumsum(size)])
+        inner = np.arange(at[-1]) - np.repeat(at[:-1], size)
+        raw = self.body[np.repeat(self.body_at[flat], size) + inner].tobytes()
+        texts = np.flatnonzero(self.is_text[flat]) if len(flat) else np.zeros(0, dtype=np.int64)
+        first = np.searchsorted(texts, offsets[:-1])
+        out = []
+        for k, a, b in zip(first.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            lead = k < len(texts) and texts[k] < b and self.opens_marked[flat[texts[k]]]
+            body = raw[at[a] + (1 if lead else 0):at[b]]
+            try:
+                out.append(body.decode())
+            except UnicodeDecodeError:  # broken byte runs: the library's replacement rules
+                out.append(self.library.decode(flat[a:b].tolist()))
+        return out
+
+
+class PieceIds:
+    """Symbols, pairs and the agenda of one vocabulary."""
+
+    def __init__(self, path: str):
+        read = Vocabulary(path)
+        model, kinds, self.library = read.model, read.kinds, read.library
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         n = len(model.pieces)
@@ -72,7 +118,6 @@ class PieceIds:
                        for p, i in normal.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
         self.pair_keys, pair_ranks, pair_pieces = (np.array(x) for x in zip(*pairs))
         self.pair_ranks, self.pair_pieces = pair_ranks.astype(np.int32), pair_pieces.astype(np.int32)
-        self.pair_of = {k: (r, i) for k, r, i in pairs}
         self.bits = int(8 * len(pairs)).bit_length()
         self.table = np.full(1 << self.bits, -1, dtype=np.int32)
         left = np.arange(len(pairs), dtype=np.int32)
@@ -86,16 +131,14 @@ class PieceIds:
         self.cuts_marks = all(MARK not in p.lstrip(MARK) for p in normal)
         if any(c in p for p in normal for c in "\n\t"):
             raise ValueError("this vocabulary merges across tabs or line feeds")
-        bodies = [p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL
-                  else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE
-                  else model.trainer_spec.unk_surface.encode() if p.type == kinds.UNKNOWN else b"" for p in model.pieces]
-        self.is_text = np.array([p.type != kinds.CONTROL for p in model.pieces])
-        self.opens_marked = np.array([p.type == kinds.NORMAL and p.piece.startswith(MARK) for p in model.pieces])
-        self.body_at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-        self.body = np.frombuffer(b"".join(bodies), dtype=np.uint8)
         self.keys = np.zeros(SLOTS, dtype=U64)
         self.lens = np.zeros(SLOTS, dtype=np.uint8)
-        self.ids = np.zeros((SLOTS, WIDE), dtype=np.int32)
+        self.ids = np.zeros((SLOTS, WIDE), dtype=np.uint16 if self.pieces <= 1 << 16 else np.int32)
+
+    @functools.cached_property
+    def pair_of(self) -> dict[int, tuple[int, int]]:
+        """Pairs by key, for the heaps of long segments."""
+        return dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_pieces.tolist())))
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of the concatenation of two symbols; NEVER where it is no piece."""
@@ -272,32 +315,17 @@ class PieceIds:
             self.keys[into] = values[short]
         return out, at[np.searchsorted(starts, offsets)]
 
-    def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
-        """Texts of rows of ids: the bodies of their pieces, without the mark that opens the first one."""
-        if len(flat) and not (0 <= flat.min() and flat.max() < self.pieces):
-            raise ValueError("an id is not in the vocabulary")
-        size = self.body_at[flat + 1] - self.body_at[flat]
-        at = np.concatenate([[0], np.cumsum(size)])
-        inner = np.arange(at[-1]) - np.repeat(at[:-1], size)
-        raw = self.body[np.repeat(self.body_at[flat], size) + inner].tobytes()
-        texts = np.flatnonzero(self.is_text[flat]) if len(flat) else np.zeros(0, dtype=np.int64)
-        first = np.searchsorted(texts, offsets[:-1])
-        out = []
-        for k, a, b in zip(first.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            lead = k < len(texts) and texts[k] < b and self.opens_marked[flat[texts[k]]]
-            body = raw[at[a] + (1 if lead else 0):at[b]]
-            try:
-                out.append(body.decode())
-            except UnicodeDecodeError:  # broken byte runs: the library's replacement rules
-                out.append(self.library.decode(flat[a:b].tolist()))
-        return out
-
 
 def piece_ids(name: str) -> PieceIds:
     path = tokenizer_path(name)
     return W.kept(f"piece_ids:{path}", lambda: PieceIds(path))
 
 
+def piece_texts(name: str) -> PieceTexts:
+    path = tokenizer_path(name)
+    return W.kept(f"piece_texts:{path}", lambda: PieceTexts(path))
+
+
 def _with_ends(flat: np.ndarray, at: np.ndarray, begin: list[int], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
     rows, more = len(at) - 1, len(begin) + len(end)
     out_at = at + more * np.arange(rows + 1)
@@ -310,14 +338,8 @@ def _with_ends(flat: np.ndarray, at: np.ndarray, begin: list[int], end: list[int
     return out, out_at
 
 
-def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", begin: bool = True, end: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row of ``docs`` (doc_id, text): the ids of the whole text.
-
-    ``ids`` holds little-endian unsigned 32-bit integers, as `sentencepiece` gives them without sampling; ``n_tokens``
-    counts them, the begin and end ids included where asked for. Null texts are empty texts, whose ids are the begin
-    and end ids alone. Texts of any length, repeated rows and null ids are rows like others; other columns are
-    ignored; an empty table gives an empty result. A text that holds the space mark U+2581 gets the ids of a space.
-    """
+def _encoder(vocabulary: str, begin: bool, end: bool):
+    """From batches (doc_id, text) to batches (doc_id, n_tokens, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = piece_ids(vocabulary)
@@ -338,8 +360,29 @@ def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", begin: bool
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), packed],
                                                  ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary")
+    return run
+
+
+def _decoder(vocabulary: str, kept: list[str]):
+    """From batches with ``ids`` to batches of the columns ``kept`` and ``decoded``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = piece_texts(vocabulary)
+        for batch in batches:
+            column = batch.column("ids").cast(pa.large_binary()).fill_null(b"")
+            at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+            data = column.buffers()[2]
+            for a, b in W.runs_of_rows(at):
+                ids = np.frombuffer(data, dtype=np.uint8)[at[a]:at[b]].view("<u4").astype(np.int64) if data else np.zeros(0, np.int64)
+                offsets = (at[a:b + 1] - at[a]) // 4
+                texts = vocab.decode(ids, offsets)
+                plain = ids.tolist()
+                if texts != vocab.library.decode([plain[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]):
+                    raise ValueError("a decoded text differs from that of the library")
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], pa.array(texts, pa.string())],
+                                                 [*kept, "decoded"])
+
+    return run
 
 
 def _marked(vocab: PieceIds, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,33 +394,37 @@ def _marked(vocab: PieceIds, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return vocab.encode(data, offsets)
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", begin: bool = True, end: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row of ``docs`` (doc_id, text): the ids of the whole text.
+
+    ``ids`` holds little-endian unsigned 32-bit integers, as `sentencepiece` gives them without sampling; ``n_tokens``
+    counts them, the begin and end ids included where asked for. Null texts are empty texts, whose ids are the begin
+    and end ids alone. Texts of any length, repeated rows and null ids are rows like others; other columns are
+    ignored; an empty table gives an empty result. A text that holds the space mark U+2581 gets the ids of a space.
+    """
+    return _read(docs).mapInArrow(_encoder(vocabulary, begin, end), "doc_id long, n_tokens long, ids binary")
+
+
 def decode(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """The columns of ``encoded`` with ``decoded`` (replaced if there): the text that its ``ids`` stand for.
 
     ``ids`` (binary, as `encode` gives them) may be any ids of the vocabulary; begin and end ids are no text, a run
     of byte ids that is no UTF-8 becomes replacement characters. Null and empty ids give an empty text.
     """
-    kept = [c for c in encoded.columns if c.lower() != "decoded"]
-    rows = encoded.select(*kept, F.col("ids").alias("_ids"))
+    kept = [f for f in encoded.schema.fields if f.name.lower() != "decoded"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    names = [f.name for f in kept]
+    return encoded.select(*names).mapInArrow(_decoder(vocabulary, names), f"{fields}, decoded string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = piece_ids(vocabulary)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1).cast(pa.large_binary()).fill_null(b"")
-            at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-            for a, b in W.runs_of_rows(at):
-                data = column.buffers()[2]
-                ids = np.frombuffer(data, dtype=np.uint8)[at[a]:at[b]].view("<u4").astype(np.int64) if data else np.zeros(0, np.int64)
-                offsets = (at[a:b + 1] - at[a]) // 4
-                texts = vocab.decode(ids, offsets)
-                plain = ids.tolist()
-                if texts != vocab.library.decode([plain[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]):
-                    raise ValueError("a decoded text differs from that of the library")
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)],
-                                                  pa.array(texts, pa.string())], [*kept, "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+def encode_and_decode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", begin: bool = True, end: bool = True) -> DataFrame:
+    """`decode` of `encode` of ``docs``, in one pass: (doc_id, n_tokens, ids, decoded)."""
+    first, second = _encoder(vocabulary, begin, end), _decoder(vocabulary, ["doc_id", "n_tokens", "ids"])
+    return _read(docs).mapInArrow(lambda batches: second(first(batches)), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def ids_as_arrays(encoded: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm import chat, forest, hamming, minhash, mixing, packing, pieces, pii, prefixes, quality, repeats
+from watchfold.llm import chat, divergence, forest, hamming, minhash, mixing, packing, pieces, pii, prefixes, quality, ranked, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +86,18 @@ def hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model"), "piece_bpe_32k.model")
+    read = pieces.encode_and_decode(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_documents=10, top_terms=10)
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -99,7 +107,8 @@ QUERIES = {
     "op1_embedding_dedup": embedding_dedup, "op2_chat_format": chat_format, "op3_pii_spans": pii_spans,
     "op4_substring_dedup": substring_dedup, "op5_quality_scores": quality_scores, "op6_minhash_dedup": minhash_dedup,
     "op7_source_mix": source_mix, "op8_packed_sequences": packed_sequences, "op9_token_counts": token_counts,
-    "op10_hamming_top_k": hamming_top_k, "op11_piece_encoding": piece_encoding, "pipeline": pipeline,
+    "op10_hamming_top_k": hamming_top_k, "op11_piece_encoding": piece_encoding, "op12_source_divergence": source_divergence,
+    "op13_ranked_search": ranked_search, "pipeline": pipeline,
 }
 
 _CHAT = """
@@ -177,4 +186,68 @@ select doc_id, domain, lang, source, epoch, n_tokens, least(n_tokens, budget - e
 from placed join final using (domain, lang, source) where low < budget - epoch * tokens
 """
 
-ORACLES = {"op2_chat_format": _CHAT, "op7_source_mix": _MIX, "op10_hamming_top_k": _TOP}
+_DIVERGENCE = r"""
+with read as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+words as (select r, lang, source, unnest(terms) as term from read),
+kept as (select lang, term from words group by lang, term having count(distinct r) >= 10),
+held as (select lang, source, term, count(*)::hugeint as n from words join kept using (lang, term) group by lang, source, term),
+sizes as (select lang, count(*)::hugeint as v from kept group by lang),
+groups as (select distinct lang, source from read),
+totals as (
+  select g.lang, g.source, coalesce(max(v), 0) as v, coalesce(sum(n), 0)::hugeint as total
+  from groups g left join held h on g.lang = h.lang and g.source = h.source left join sizes s on g.lang = s.lang group by g.lang, g.source),
+shares as (
+  select t.lang, t.source, k.term, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0) + 2)) // (total + 2 * v) as p
+  from totals t join kept k on t.lang = k.lang left join held h on h.lang = t.lang and h.source = t.source and h.term = k.term),
+langs as (
+  select h.lang, term, 1 + (1000000000 * (sum(n)::hugeint + 2)) // (sum(sum(n)) over (partition by h.lang)::hugeint + 2 * max(v)) as q
+  from held h join sizes s on h.lang = s.lang group by h.lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::bigint as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+all_pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+terms as (
+  select s.lang, s.source, 'term' as part, s.term as item, (((p - q) * (p - q)) // (p + q))::bigint as value
+  from shares s join langs l on s.lang = l.lang and s.term = l.term where n > 0 and p > q),
+ranked as (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::integer as rank
+  from (select * from all_pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+_RANKED = r"""
+with read as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+held as (select r, doc_id, len(terms)::bigint as n, terms from read where len(terms) > 0),
+size as (select count(*)::bigint as docs, sum(n)::bigint as total from held),
+wanted as (
+  select item_id, term, count(*)::bigint as times from (
+    select item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)
+  group by item_id, term),
+counts as (
+  select r, doc_id, n, term, count(*)::bigint as tf from (select r, doc_id, n, unnest(terms) as term from held)
+  where term in (select term from wanted) group by r, doc_id, n, term),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counts, size group by term),
+parts as (
+  select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) as part
+  from counts join weights using (term), size),
+scores as (
+  select item_id, r, doc_id, sum(times * part)::bigint as score from wanted join parts using (term) group by item_id, r, doc_id),
+ranked as (
+  select *, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::integer as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+
+ORACLES = {"op2_chat_format": _CHAT, "op7_source_mix": _MIX, "op10_hamming_top_k": _TOP,
+           "op12_source_divergence": _DIVERGENCE, "op13_ranked_search": _RANKED}
