@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfold.operators.events import event_columns
-from watchfold.operators.features import extract_features
+from watchfold.operators.features import busy_keys, extract_features, feature_rows
+from watchfold.operators.ranks import first_of_each, ordered_parts, running
 from watchfold.schema import FEATURES
 from watchfold.streaming.features import FeatureStream
 
@@ -83,6 +84,54 @@ def test_against_sequential(spark, seed, hot):
     compare(got, sequential(rows))
 
 
+def nine(df):
+    rows = df.collect()
+    got = {r.id: [r[c] for c in FEATURES] for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("seed, hot, split, part", [(4, 0.3, 0, 50), (5, 0.95, 40, 30), (6, 0.9, 5, 10_000)])
+def test_busy_entities_and_seconds_cut_into_parts(spark, seed, hot, split, part):
+    rows = random_rows(400, seed, hot)
+    shuffled = rows[:]
+    random.Random(seed).shuffle(shuffled)
+    compare(nine(extract_features(events(spark, shuffled), split_rows=split, part_rows=part)), sequential(rows))
+
+
+def test_one_instant_of_one_entity(spark):
+    """All rows bear one timestamp: only the arrival order tells them apart."""
+    rows = [(str(i), 1_700_000_000.25, "10.0.0.1", None, i % 3 == 0, i % 7, f"1.1.1.{i % 11}", i, None if i % 2 else i % 60 - 30.0,
+             None if i % 2 else i % 90 - 45.0) for i in range(3000)]
+    compare(nine(extract_features(events(spark, rows), split_rows=100, part_rows=400)), sequential(rows))
+
+
+def test_no_part_holds_much_more_than_asked_for(spark):
+    """One entity and one instant of 40,000 rows: rows per part stay near the asked size, and follow the order."""
+    rows = spark.range(40_000).selectExpr("'e' as entity", "1 as t", "id as tie")
+    placed = ordered_parts(rows, ["entity"], ["t", "tie"], 20)
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 3 * 2_000
+    spans = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.min("tie"), F.max("tie")).collect())
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_repeated_rows_are_counted_apart(spark):
+    rows = spark.createDataFrame([("e", 1, 5, "x")] * 6 + [("e", 2, 1, "y"), (None, 1, 1, "x")], "k string, t int, tie int, v string")
+    placed = ordered_parts(rows, ["k"], ["t", "tie"], 4)
+    got = running(placed, ["k"], ["t", "tie"], {"n": F.lit(1)}, {"before": F.col("v")}).select("k", "n", "before").collect()
+    assert sorted((r.k or "", r.n, r.before or "") for r in got) == [
+        ("", 1, ""), ("e", 1, ""), *[("e", i, "x") for i in range(2, 8)]]
+    assert first_of_each(placed, ["k"], ["t", "tie"], "v").count() == 3
+
+
+def test_tables_without_busy_keys_are_left_as_they_are(spark):
+    rows = feature_rows(events(spark, random_rows(60, 3, 0.5)))
+    assert busy_keys(rows, 1000) == (None, None)
+    entities, seconds = busy_keys(rows, 2)
+    assert {r.entity for r in entities.collect()} and all(r.n > 2 for r in (seconds.collect() if seconds else []))
+
+
 def test_micro_batches_equal_one_batch(spark, tmp_path):
     rows = random_rows(240, 7, 0.5)
     stream = FeatureStream(spark, str(tmp_path), compact_every=2)

@@ -10,6 +10,13 @@ would put a hot entity into one task, so the work is split by (entity, 300 s slo
 
 So one shuffle on (entity, slot) serves all entity features, and a group is bounded by one
 entity's events in five minutes. The time-of-day feature is global and uses a one-second split.
+
+Where a count shows that an entity's slot or a second holds more than ``SPLIT_ROWS`` rows, these
+entities and seconds take another way: their rows, and for each of them a row at the instant it
+leaves each window, are cut into parts of about equal size along (entity, time, arrival), whatever
+the keys. Every feature is then a running sum over that order (entered minus left), a running
+count of first occurrences, or the last value before; each part adds what the parts before it
+amount to. So not even one entity whose events all bear one timestamp meets in one task.
 """
 
 from __future__ import annotations
@@ -21,11 +28,15 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km, latitude, longitude, speed_kmh
 from ..functions.keys import entity_feature, epoch_bucket, event_micros, tie_breaker
 from ..settings import MICROS, WINDOW_1H, WINDOW_1M, WINDOW_5M
-from .ranks import salted_join
+from .ranks import _equal, first_of_each, ordered_parts, running, salted_join
+from ..session import reliable
 
 SLOT = WINDOW_5M
 HOUR_SLOTS = WINDOW_1H // SLOT
 OWN, PREVIOUS, HOUR_AGO = 0, 1, 2
+LEFT, ENTERED = 0, 1
+SPLIT_ROWS = 200_000
+PART_ROWS = 100_000
 
 
 def feature_rows(events: DataFrame, *carry: str | Column) -> DataFrame:
@@ -141,9 +152,7 @@ def entity_features(rows: DataFrame, base: DataFrame | None = None, places: Data
         joined = salted_join(joined, places, "entity", spread="tie")
         before_slot = F.coalesce(before_slot, "known_place")
     joined = joined.withColumn("place", before_slot)
-    place = F.col("place")
-    km = haversine_km(place["lat"], place["lon"], F.col("lat"), F.col("lon"))
-    speed = F.when(F.col("lat").isNotNull() & place.isNotNull(), speed_kmh(km, F.col("us") - place["us"]))
+    speed = _speed()
     carried = [c for c in rows.columns if c not in
                {"slot", "fail", "dport", "dip", "nbytes", "lat", "lon"}]
     return joined.select(
@@ -156,6 +165,48 @@ def entity_features(rows: DataFrame, base: DataFrame | None = None, places: Data
         F.coalesce(speed, F.lit(0.0)).alias("geo_velocity_kmh"))
 
 
+def _speed() -> Column:
+    place = F.col("place")
+    km = haversine_km(place["lat"], place["lon"], F.col("lat"), F.col("lon"))
+    return F.when(F.col("lat").isNotNull() & place.isNotNull(), speed_kmh(km, F.col("us") - place["us"]))
+
+
+def ordered_entity_features(rows: DataFrame, n_rows: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """The result of `entity_features` by running sums over parts of equal size, for entities of any weight."""
+    steps = F.array(
+        F.struct(F.lit(ENTERED).alias("kind"), F.lit(0).alias("window"), F.col("us").alias("t")),
+        *[F.struct(F.lit(LEFT).alias("kind"), F.lit(w).alias("window"), (F.col("us") + w * MICROS + 1).alias("t"))
+          for w in (WINDOW_1M, WINDOW_5M, WINDOW_1H)])
+    entered = F.col("kind") == ENTERED
+    thin = {"entity", "tie", "fail"}
+    stepped = rows.select("*", F.explode(steps).alias("_s")).select(*rows.columns, "_s.kind", "_s.window", "_s.t").select(
+        *[c if c in thin else F.when(entered, F.col(c)).alias(c) for c in rows.columns], "kind", "window", "t")
+    order = ["t", "kind", "tie"]
+    placed = ordered_parts(stepped, ["entity"], order, -(-4 * n_rows // part_rows), "entity_steps")
+
+    def within(value: Column, window: int) -> Column:
+        return F.when(entered, value).when(F.col("window") == window, -value).otherwise(0)
+
+    one = F.lit(1)
+    place = F.when(F.col("lat").isNotNull(), F.struct("us", "tie", "lat", "lon"))
+    counted = running(placed, ["entity"], order, {
+        "c1m": within(one, WINDOW_1M), "c5m": within(one, WINDOW_5M), "c1h": within(one, WINDOW_1H),
+        "f5m": within(F.col("fail"), WINDOW_5M)}, {"place": place}).filter(entered)
+    own = placed.filter(entered)
+    bucket = ["entity", "slot"]
+    for c in ("dport", "dip"):
+        firsts = first_of_each(own, bucket, order, c).withColumn(f"new_{c}", F.lit(1))
+        counted = _equal(counted, firsts, ["_part", "_row"])
+    spread = running(counted, bucket, order, {
+        "ports": F.coalesce("new_dport", F.lit(0)), "ips": F.coalesce("new_dip", F.lit(0)), "bytes": F.col("nbytes")})
+    carried = [c for c in rows.columns if c not in {"slot", "fail", "dport", "dip", "nbytes", "lat", "lon"}]
+    return spread.select(
+        *carried, F.col("c1m").cast("double").alias("event_count_1m"), F.col("c5m").cast("double").alias("event_count_5m"),
+        F.col("c1h").cast("double").alias("event_count_1h"), (F.col("f5m") / F.greatest("c5m", one)).alias("failed_auth_ratio"),
+        F.col("ports").cast("double").alias("distinct_dest_ports"), F.col("ips").cast("double").alias("dest_ip_fanout"),
+        F.col("bytes").cast("double").alias("bytes_transferred"), F.coalesce(_speed(), F.lit(0.0)).alias("geo_velocity_kmh"))
+
+
 def second_of_event() -> Column:
     """Declared non-null, so joins add no filters and equal sub-plans stay equal and are reused."""
     return F.coalesce(epoch_bucket("us", 1), F.lit(0))
@@ -221,16 +272,62 @@ def with_tod_zscore(rows: DataFrame, start: dict = NO_HISTORY) -> DataFrame:
     timed = rows.withColumn("sec", second_of_event())
     w = W.partitionBy("sec").orderBy("us", "tie")
     ranked = timed.withColumn("j", F.row_number().over(w)).join(hour_offsets(rows, start), "sec")
+    return ranked.select(*rows.columns, _zscore().alias("tod_zscore"))
+
+
+def _zscore() -> Column:
     j = (F.col("j0") + F.col("j")).cast("double")
     d = F.col("d0") + 2 * j * (24 * F.col("r0") - F.col("n0")) + 23 * j * j
     z = (24 * (F.col("r0") + j) - (F.col("n0") + j)) / F.sqrt(d)
-    return ranked.select(*rows.columns, F.when(d > 0, z).otherwise(0.0).alias("tod_zscore"))
+    return F.when(d > 0, z).otherwise(0.0)
+
+
+def split_tod_zscore(rows: DataFrame, busy: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """`with_tod_zscore` where the seconds of ``busy`` (sec, n) hold too many rows for one window each."""
+    timed = salted_join(rows.withColumn("sec", second_of_event()), busy.select("sec", F.lit(True).alias("_busy")), "sec", spread="tie")
+    offsets = hour_offsets(rows)
+    quiet = timed.filter("_busy is null").drop("_busy")
+    w = W.partitionBy("sec").orderBy("us", "tie")
+    quiet = quiet.withColumn("j", F.row_number().over(w)).join(offsets, "sec")
+    parts = -(-(busy.agg(F.sum("n")).first()[0] or 0) // part_rows)
+    placed = ordered_parts(timed.filter("_busy").drop("_busy"), ["sec"], ["us", "tie"], parts, "busy_seconds")
+    ranked = running(placed, ["sec"], ["us", "tie"], {"j": F.lit(1)})
+    loud = salted_join(ranked, offsets.join(busy.select("sec"), "sec", "left_semi"), "sec", "inner", spread="tie")
+    columns = [*rows.columns, _zscore().alias("tod_zscore")]
+    return quiet.select(*columns).unionByName(loud.select(*columns))
+
 
+def busy_keys(rows: DataFrame, split_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Entities (entity, n) with a slot, and seconds (sec, n), of more than ``split_rows`` rows; None where there are none.
 
-def extract_features(events: DataFrame, *carry: str | Column) -> DataFrame:
-    """id, entity, us, ``carry`` and the nine features of every event."""
+    Both are bounded by rows / ``split_rows``. Tables that are small as a whole are not looked at.
+    """
+    if rows.count() <= split_rows:
+        return None, None
+    slots = rows.groupBy("entity", "slot").agg(F.count(F.lit(1)).alias("n"))
+    entities = reliable(slots.groupBy("entity").agg(F.max("n").alias("most"), F.sum("n").alias("n")).filter(
+        F.col("most") > split_rows).select("entity", "n"), "busy_entities")
+    seconds = reliable(rows.groupBy(second_of_event().alias("sec")).agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > split_rows), "busy_seconds")
+    return (None if entities.isEmpty() else entities), (None if seconds.isEmpty() else seconds)
+
+
+def extract_features(events: DataFrame, *carry: str | Column, split_rows: int = SPLIT_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """id, entity, us, ``carry`` and the nine features of every event.
+
+    ``split_rows``: an entity with more rows than this in one slot, and a second with more, are cut into parts of
+    about ``part_rows`` rows; the result is the same.
+    """
     rows = feature_rows(events, *carry)
-    return entity_features(with_tod_zscore(rows), rows)
+    entities, seconds = busy_keys(rows, split_rows)
+    timed = with_tod_zscore(rows) if seconds is None else split_tod_zscore(rows, seconds, part_rows)
+    if entities is None:
+        return entity_features(timed, rows)
+    marked = salted_join(timed, entities.select("entity", F.lit(True).alias("_busy")), "entity", spread="tie")
+    base = salted_join(rows, entities.select("entity", F.lit(True).alias("_busy")), "entity", spread="tie")
+    quiet = entity_features(marked.filter("_busy is null").drop("_busy"), base.filter("_busy is null").drop("_busy"))
+    n_rows = entities.agg(F.sum("n")).first()[0]
+    return quiet.unionByName(ordered_entity_features(marked.filter("_busy").drop("_busy"), n_rows, part_rows))
 
 
 def windowed_counts(events: DataFrame, window: str = "5 minutes", slide: str | None = None,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import reliable
+
 
 def slotted_rank(df: DataFrame, keys: list[str], slot: Column, order: list, name: str = "rank") -> DataFrame:
     """row_number within ``keys`` by ``order``, for a slot that grows with the order.
@@ -53,3 +55,55 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def ordered_parts(rows: DataFrame, keys: list[str], order: list[str], parts: int, name: str = "ordered") -> DataFrame:
+    """``rows`` as a written table with ``_part`` and ``_row``: parts of about equal size that follow (keys, order).
+
+    Spark samples the order, so a key, or even one instant of a key, that holds much of the data is cut into
+    several parts. ``_row`` makes the order total where rows repeat.
+    """
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    placed = numbered.repartitionByRange(max(1, parts), *keys, *order, "_row")
+    return reliable(placed.withColumn("_part", F.spark_partition_id()), name)
+
+
+def _equal(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on columns of which ``_part`` is never null and the others may be."""
+    renamed = right.select("*", *[F.col(c).alias(f"_on_{c}") for c in on]).drop(*on)
+    match = F.lit(True)
+    for c in on:
+        match = match & (F.col(c).eqNullSafe(F.col(f"_on_{c}")))
+    return left.join(renamed, match, "left").drop(*[f"_on_{c}" for c in on])
+
+
+def running(placed: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
+            lasts: dict[str, Column] | None = None) -> DataFrame:
+    """Running values along ``order`` within ``keys`` over the parts of `ordered_parts`.
+
+    ``sums`` include the row itself; ``lasts`` give the last non-null value before the row. A window stays within
+    one part and key; what earlier parts of the key amount to is one row per (part, key), summed along the parts.
+    """
+    lasts = lasts or {}
+    group, by = ["_part", *keys], [*order, "_row"]
+    upto = W.partitionBy(*group).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*group).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    local = placed.withColumns({f"_l_{n}": F.sum(c).over(upto) for n, c in sums.items()}
+                               | {f"_l_{n}": F.last(c, ignorenulls=True).over(before) for n, c in lasts.items()})
+    totals = placed.groupBy(*group).agg(
+        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), F.struct(*by))).alias(f"_t_{n}") for n, c in lasts.items()])
+    past = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*group, *[F.coalesce(F.sum(f"_t_{n}").over(past), F.lit(0)).alias(f"_o_{n}") for n in sums],
+                            *[F.last(f"_t_{n}", ignorenulls=True).over(past).alias(f"_o_{n}") for n in lasts])
+    joined = _equal(local, offsets, group)
+    return joined.select(*placed.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums],
+                         *[F.coalesce(f"_l_{n}", f"_o_{n}").alias(n) for n in lasts])
+
+
+def first_of_each(placed: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(_part, _row) of the first row of every non-null ``value`` within ``keys``: firsts of the parts, merged along them."""
+    firsts = placed.filter(F.col(value).isNotNull()).groupBy("_part", *keys, value).agg(
+        F.min(F.struct(*order, "_row")).alias("_first"))
+    along = W.partitionBy(*keys, value).orderBy("_part")
+    return firsts.withColumn("_n", F.row_number().over(along)).filter("_n = 1").select("_part", F.col("_first._row").alias("_row"))
