@@ -1,12 +1,13 @@
 import hashlib
 import ipaddress
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from watchfold.functions import text as X
-from watchfold.functions.network import is_cidr, is_internal, is_ip
+from watchfold.functions.network import address_key, is_cidr, is_internal, is_ip, network_bounds
 from watchfold.operators import dashboards, evaluation, graph, incidents, indicators, ledger
 from watchfold.operators.locate import locate
 from watchfold.operators.ranks import salted_join, slotted_rank
@@ -139,3 +140,70 @@ def test_locate_prefers_the_narrow_range(spark):
     rng = spark.sql("select * from values (167772160L, 184549375L, 'wide'), (167772160L, 167772170L, 'narrow') as t(start_ip, end_ip, country)")
     rows = spark.createDataFrame([(1, "10.0.0.5"), (2, "10.9.0.5"), (3, "11.0.0.1"), (4, None), (5, "10.0.0.5")], "id int, ip string")
     assert {r.id: r.country for r in locate(rows, rng).collect()} == {1: "narrow", 2: "wide", 3: None, 4: None, 5: "narrow"}
+
+
+def test_address_keys_equal_the_standard_library(spark):
+    texts = ["10.0.0.1", "255.255.255.255", "0.0.0.0", "::", "::1", "1::", "2001:DB8::ff00:42:8329", "1:2:3:4:5:6:7:8", "1::8", "::ffff:10.1.2.3",
+             "::ffff:0a01:0203", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "fe80::1%eth0", "::5:6:7:8"]
+    wrong = ["", "n/a", "1.2.3", "01.2.3.4", "1:2:3", "1:::2", "12345::", None, "10.0.0.0/8", "::1.2.3"]
+    rows = spark.createDataFrame([(t,) for t in texts + wrong], "ip string").select("ip", address_key(F.col("ip")).alias("key")).collect()
+    for r in rows:
+        if r.ip in wrong:
+            assert r.key is None, r.ip
+            continue
+        a = ipaddress.ip_address(r.ip)
+        a = getattr(a, "ipv4_mapped", None) or a
+        assert bytes(r.key) == bytes([a.version]) + int(a).to_bytes(16, "big"), r.ip
+
+
+def test_network_bounds_equal_the_standard_library(spark):
+    texts = ["10.1.2.3/8", "0.0.0.0/0", "10.0.0.1", "10.0.0.1/32", "::/0", "2001:db8::1/33", "2001:db8::1/64", "2001:db8::1/65", "2001:db8::/127", "::1",
+             "192.168.1.77/30", "2001:db8:ffff::/128"]
+    wrong = ["10.0.0.0/33", "::/129", "x/8", "10.0.0.0/", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts + wrong], "n string").select("n", network_bounds(F.col("n")).alias("b")).collect()
+    for r in rows:
+        if r.n in wrong:
+            assert r.b is None, r.n
+            continue
+        n = ipaddress.ip_network(r.n, strict=False)
+        assert [bytes(x) for x in r.b] == [bytes([n.version]) + int(x).to_bytes(16, "big") for x in (n[0], n[-1])], r.n
+
+
+@pytest.mark.parametrize("seed, part_rows", [(1, 100_000), (2, 40), (3, 7)])
+def test_lookup_against_all_ranges(spark, seed, part_rows):
+    """Nested, overlapping, repeated, touching and reversed ranges, in one part and in many, against trying them all."""
+    rng = random.Random(seed)
+    made = []
+    for i in range(120):
+        a = rng.randrange(5000)
+        made.append((a, a + rng.choice([-3, 0, 1, 10, 300, 4000]), f"r{i}"))
+    made += [(0, 6000, "all"), (10, 20, "same"), (21, 30, "next")]
+    to_ip = {4: lambda n: str(ipaddress.IPv4Address(n)), 6: lambda n: str(ipaddress.IPv6Address((1 << 127) + n * 2**70))}
+    ranges = [(to_ip[v](max(a, 0)), to_ip[v](max(b, 0)), f"{p}v{v}") for a, b, p in made for v in (4, 6)]
+    ranges += [("10.0.0.1", "::5", "two families"), ("x", "y", "no addresses"), (None, "1.1.1.1", "open")]
+    asked = [(i, to_ip[v](n)) for i, (v, n) in enumerate((v, n) for v in (4, 6) for n in [0, 10, 20, 21, 30, 31, *(rng.randrange(6500) for _ in range(150))])]
+    asked += [(9001, None), (9002, "n/a"), (9003, asked[5][1])]
+    got = {r.id: r.country for r in locate(spark.createDataFrame(asked, "id int, ip string"),
+                                           spark.createDataFrame(ranges, "start_ip string, end_ip string, country string"),
+                                           part_rows=part_rows).collect()}
+
+    def key(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        return a.version, int(a)
+    spans = [(key(a), key(b), p) for a, b, p in ranges]
+    spans = [(a, b, p) for a, b, p in spans if a and b and a[0] == b[0] and a <= b]
+    assert len(got) == len(asked)
+    for i, t in asked:
+        holding = [(b[1] - a[1], a, p) for a, b, p in spans if key(t) and a <= key(t) <= b]
+        best = {p for w, a, p in holding if (w, a) == min(holding)[:2]}
+        assert (got[i] in best) if best else got[i] is None, (t, got[i], best)
+
+
+def test_lookup_without_ranges_or_addresses(spark):
+    ranges = spark.createDataFrame([("10.0.0.0", "10.0.0.9", "x")], "start_ip string, end_ip string, country string")
+    rows = spark.createDataFrame([(1, "10.0.0.5")], "id int, ip string")
+    assert [r.country for r in locate(rows, ranges.filter("false")).collect()] == [None]
+    assert locate(rows.filter("false"), ranges).collect() == []

@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions.keys import entity_feature, epoch_bucket, event_micros, tie_breaker
-from ..functions.network import is_cidr, is_ip
+from ..functions.network import address_key, is_cidr, is_ip
 from ..operators import attribution as A
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import indicators as IOC
 from ..operators.incidents import incident_key, incident_timeline
-from ..operators.locate import locate
+from ..operators.locate import locate, ranges_of_networks
 from ..operators.sessions import attach_sessions, score_history, sessions
 from .driver_tables import activity, security_events, table
 from .reference_sql import EV
@@ -145,6 +145,34 @@ def located(spark, sf):
     return locate(rows, ranges(spark, sf)).select(F.col("id").alias("event_id"), "country", "network")
 
 
+def located_both_families(spark, sf):
+    """Addresses of both families in several spellings, over networks and ranges that nest and overlap."""
+    x = F.expr
+    rows = activity(spark, sf).select(
+        F.col("event_id").alias("id"),
+        x("""case when k = 7 then 'n/a' else case event_id % 5
+             when 0 then format_string('2001:db8:%x:%x::%x', user_id % 250, k % 4, k)
+             when 1 then format_string('2001:0DB8:%04X:%04X:0000:0000:0000:%04X', user_id % 250, k % 4, k)
+             when 2 then format_string('2001:db8:%x:%x::0.0.0.%d%%eth0', user_id % 250, k % 4, k)
+             when 3 then format_string('10.%d.0.%d', user_id % 250, k)
+             else format_string('::ffff:10.%d.0.%d', user_id % 250, k) end end""").alias("ip"))
+    n = table(spark, sf, "nation").withColumn("h", F.col("n_nationkey") * 8)
+    networks = n.select(F.explode(F.array(
+        F.struct(x("format_string('2001:db8:%x::/45', h)").alias("network"), x("concat(n_name, ' wide')").alias("country")),
+        F.struct(x("format_string('2001:db8:%x:1::/64', h)").alias("network"), x("concat(n_name, ' net')").alias("country")),
+        F.struct(x("format_string('10.%d.0.99/13', h)").alias("network"), x("concat(n_name, ' wide4')").alias("country")))).alias("r")).select("r.*")
+    spans = n.select(F.explode(F.array(
+        F.struct(x("format_string('2001:db8:%x::', h)").alias("start_ip"), x("format_string('2001:db8:%x:1::20', h)").alias("end_ip"),
+                 x("concat(n_name, ' across')").alias("country")),
+        F.struct(x("format_string('2001:db8:%x:1::11', h)").alias("start_ip"), x("format_string('2001:db8:%x:1::40', h)").alias("end_ip"),
+                 x("concat(n_name, ' core')").alias("country")),
+        F.struct(x("format_string('10.%d.0.0', h)").alias("start_ip"), x("format_string('10.%d.0.49', h)").alias("end_ip"),
+                 x("concat(n_name, ' core4')").alias("country")))).alias("r")).select("r.*")
+    keyed = spans.select(address_key(F.col("start_ip")).alias("start_ip"), address_key(F.col("end_ip")).alias("end_ip"), "country")
+    every = ranges_of_networks(networks).select("start_ip", "end_ip", "country").unionByName(keyed)
+    return locate(rows, every, part_rows=200).select(F.col("id").alias("event_id"), "country")
+
+
 def alert_rows(spark, sf):
     return security_events(spark, sf).select(
         "id", entity_feature().alias("entity"), F.col("event.action").alias("technique_id"),
@@ -217,7 +245,7 @@ QUERIES = {
     "safe_variables": safe_variables, "ioc_validation": ioc_split, "ioc_by_field": ioc_by_field,
     "ioc_variables": ioc_variables, "incident_indicators": indicators, "incident_indicators_any_role": indicators_any,
     "graph_nodes": nodes, "graph_edge_sides": sides, "graph_edge_counts": edges, "playbook_choice": playbooks,
-    "evidence_lines": evidence, "address_lookup": located, "incident_sessions": session_query,
+    "evidence_lines": evidence, "address_lookup": located, "address_lookup_both_families": located_both_families, "incident_sessions": session_query,
     "incident_session_members": session_members, "score_history": history, "incident_timeline": timeline,
     "score_blend": blended, "confusion_and_rates": matrix_query, "roc_auc": auc_query,
     "precision_recall_curve": curve_query, "chosen_threshold": threshold_query,
@@ -317,6 +345,20 @@ ORACLES = {
           CASE WHEN user_id % 250 % 8 = 0 AND k < 50 THEN ' core' ELSE '' END END AS country,
         CAST(CASE WHEN k <> 7 AND user_id % 250 < 200 THEN CASE WHEN user_id % 250 % 8 = 0 AND k < 50 THEN 65000 ELSE 64000 END
           + user_id % 250 // 8 END AS INT) AS network FROM e""",
+    "address_lookup_both_families": f"""WITH {EV},
+        asked AS (SELECT event_id, event_id % 5 < 3 AS v6, CASE WHEN k = 7 THEN NULL WHEN event_id % 5 < 3
+            THEN (user_id % 250)::HUGEINT * 1208925819614629174706176 + (k % 4)::HUGEINT * 18446744073709551616 + k
+            ELSE (user_id % 250)::HUGEINT * 65536 + k END AS place FROM e),
+        n AS (SELECT n_name, (n_nationkey * 8)::HUGEINT * 1208925819614629174706176 AS b6, (n_nationkey * 8)::HUGEINT * 65536 AS b4,
+            18446744073709551616::HUGEINT AS s FROM nation),
+        r AS (SELECT true AS v6, b6 AS lo, b6 + 8 * 1208925819614629174706176::HUGEINT - 1 AS hi, n_name || ' wide' AS country FROM n
+          UNION ALL SELECT true, b6 + s, b6 + 2 * s - 1, n_name || ' net' FROM n
+          UNION ALL SELECT true, b6, b6 + s + 32, n_name || ' across' FROM n
+          UNION ALL SELECT true, b6 + s + 17, b6 + s + 64, n_name || ' core' FROM n
+          UNION ALL SELECT false, b4, b4 + 8 * 65536 - 1, n_name || ' wide4' FROM n
+          UNION ALL SELECT false, b4, b4 + 49, n_name || ' core4' FROM n)
+        SELECT event_id, arg_min(country, (hi - lo, lo)) AS country FROM asked LEFT JOIN r ON asked.v6 = r.v6 AND place BETWEEN lo AND hi
+        GROUP BY event_id""",
     "incident_sessions": f"""{SESS} SELECT entity, technique_id, session_start, max(us) AS session_end, count(*) AS alert_count
         FROM st GROUP BY ALL""",
     "incident_session_members": f"{SESS} SELECT event_id, session_start FROM st",
