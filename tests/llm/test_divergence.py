@@ -103,3 +103,11 @@ def test_blocks_keep_every_occurrence(spark, odd):
         for t in r.terms:
             of[t].add(r.block)
     assert all(len(b) == 1 for b in of.values())
+
+
+def test_shares_beyond_64_bits(spark):
+    """Counts whose scaled value needs more than 64 bits are divided exactly too."""
+    counts = [0, 1, 9_223_372_034, 9_223_372_035, 10**15, 3 * 10**17]
+    rows = spark.createDataFrame([(c, 4 * 10**17, 10**6) for c in counts], "n long, total long, v long")
+    got = rows.select("n", divergence._share(divergence.F.col("n"), divergence.F.col("total"), divergence.F.col("v")).alias("p")).collect()
+    assert {r.n: r.p for r in got} == {c: 1 + 10**9 * (c + 2) // (4 * 10**17 + 2 * 10**6) for c in counts}

@@ -6,9 +6,10 @@ language, whatever the number of languages. Vectors are summed per source as spa
 them, and pairs of sources are evaluated over the terms that at least one of the two holds; the rest of the
 vocabulary contributes one constant per pair.
 
-The vocabulary passes through the driver and is sent to all tasks. Its size is checked first: terms are dealt by
-hash to as many blocks as keep the distinct terms of each (an upper bound of its vocabulary) below ``TERMS``, and
-each block has a fit of its own over its own terms only.
+The vocabulary passes through the driver and is sent to all tasks, so it is bounded: a first fit asks for at most
+``TERMS`` terms. A vocabulary that stays below that is the whole one. Otherwise it is thrown away, terms are dealt by
+hash to as many blocks as keep the distinct terms of each below ``TERMS``, and each block, which holds its own terms
+only, has a fit with the largest integer.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,10 +37,11 @@ OTHERS = "".join(chr(c) for c in (*range(0x20), *range(0x21, 0x41), *range(0x5B,
 SEPARATOR = "\x00"  # occurs in no term
 
 
-def terms_of(text: Column) -> Column:
-    """Runs of letters and everything beyond ASCII, only A-Z lower-cased."""
-    plain = F.translate(text, LETTERS + OTHERS, LETTERS.lower() + " " * len(OTHERS))
-    return F.array_remove(F.split(plain, " "), "")
+def _spaced(text: Column) -> Column:
+    """Terms of a text with spaces between them: runs of letters and everything beyond ASCII, only A-Z lower-cased."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.regexp_replace(F.lower(text), "[^a-z]+", " ")).otherwise(
+        F.translate(text, LETTERS + OTHERS, LETTERS.lower() + " " * len(OTHERS)))
 
 
 def _text(name: str) -> Column:
@@ -47,9 +49,11 @@ def _text(name: str) -> Column:
 
 
 def prefixed_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every row; each term with its language before it."""
-    read = docs.select(_text("lang").alias("lang"), _text("source").alias("source"), terms_of(_text("text")).alias("terms"))
-    return read.withColumn("terms", F.transform("terms", lambda t: F.concat("lang", F.lit(SEPARATOR), t)))
+    """(lang, source, terms) of every row; each term with its language, as hexadecimal digits, before it."""
+    read = docs.select(_text("lang").alias("lang"), _text("source").alias("source"), _spaced(_text("text")).alias("spaced"))
+    prefix = F.concat(F.hex("lang"), F.lit(SEPARATOR))
+    each = F.concat(prefix, F.replace("spaced", F.lit(" "), F.concat(F.lit(" "), prefix)))
+    return read.select("lang", "source", F.array_remove(F.split(each, " "), prefix).alias("terms"))
 
 
 def dealt_to_blocks(rows: DataFrame, blocks: int) -> DataFrame:
@@ -81,16 +85,55 @@ def _digest(term: str) -> bytes:
     return hashlib.blake2b(term.encode(), digest_size=8).digest()
 
 
-def vector_sums(rows: DataFrame, least_documents: int) -> DataFrame:
-    """(lang, source, place, term, count) of the kept terms of one block: sparse sums of its document vectors."""
+class _Sums:
+    """Sums of sparse vectors by source, kept as sorted sparse entries."""
+
+    def __init__(self):
+        self.sources: dict[str, int] = {}
+        self.keys, self.counts, self.waiting = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+
+    def add(self, source: pa.Array, places: pa.ListArray, counts: pa.ListArray) -> None:
+        coded = source.dictionary_encode()
+        of = np.array([self.sources.setdefault(s, len(self.sources)) for s in coded.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(of[coded.indices.to_numpy()], pc.list_value_length(places).to_numpy(zero_copy_only=False))
+        self.waiting.append((row << 32 | places.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.int64)))
+        if sum(len(k) for k, _ in self.waiting) > max(1 << 20, len(self.keys)):
+            self.settle()
+
+    def settle(self) -> None:
+        keys, counts = (np.concatenate(x) for x in zip((self.keys, self.counts), *self.waiting))
+        self.waiting = []
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _sums_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _Sums()
+    for batch in batches:
+        sums.add(batch.column(0), batch.column(1), batch.column(2))
+    sums.settle()
+    names = pa.array(list(sums.sources), pa.string())
+    for a in range(0, len(sums.keys), 1 << 16):
+        keys, counts = sums.keys[a:a + (1 << 16)], sums.counts[a:a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(keys >> 32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)],
+                                         ["source", "place", "count"])
+
+
+def fitted(rows: DataFrame, least_documents: int, most_terms: int = 2**31 - 1) -> CountVectorizerModel:
+    return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_documents), vocabSize=most_terms).fit(rows)
+
+
+def vector_sums(rows: DataFrame, model: CountVectorizerModel) -> DataFrame:
+    """(lang, source, place, term, count) of the terms of one model: sparse sums of its document vectors."""
     spark = rows.sparkSession
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_documents), vocabSize=2**31 - 1).fit(rows)
-    words = [(i, *w.rsplit(SEPARATOR, 1)) for i, w in enumerate(model.vocabulary)]
+    pairs = [w.split(SEPARATOR, 1) for w in model.vocabulary]
+    words = spark.createDataFrame([(i, bytes.fromhex(p).decode(), w) for i, (p, w) in enumerate(pairs)], "place int, lang string, term string")
     vectors = model.transform(rows).select("source", F.unwrap_udt("vector").alias("vector"))
-    entries = vectors.select("source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("entry"))
-    sums = entries.groupBy("source", F.col("entry.indices").alias("place")).agg(F.sum(F.col("entry.values").cast("long")).alias("count"))
-    return sums.join(spark.createDataFrame(words, "place int, lang string, term string"), "place").select(
-        "lang", "source", "place", "term", "count")
+    partial = vectors.select("source", "vector.indices", "vector.values").mapInArrow(_sums_of_task, "source string, place int, count long")
+    sums = partial.groupBy("source", "place").agg(F.sum("count").alias("count"))
+    return sums.join(words, "place").select("lang", "source", "place", "term", "count")
 
 
 def group_counts(docs: DataFrame, least_documents: int, most_terms: int = TERMS) -> tuple[DataFrame, DataFrame]:
@@ -98,24 +141,27 @@ def group_counts(docs: DataFrame, least_documents: int, most_terms: int = TERMS)
     spark = docs.sparkSession
     rows = reliable(prefixed_terms(docs), "source_terms")
     groups = reliable(rows.select("lang", "source").distinct(), "source_groups")
-    distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
-    blocks = max(1, math.ceil(1.1 * distinct / most_terms))
     path = shared_dir(spark, "source_counts")
-    if blocks == 1:
-        vector_sums(rows, least_documents).write.parquet(f"{path}/block=0")
+    whole = fitted(rows, least_documents, most_terms)
+    if len(whole.vocabulary) < most_terms:
+        vector_sums(rows, whole).write.parquet(f"{path}/block=0")
     else:
+        distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
+        blocks = math.ceil(1.1 * distinct / most_terms)
         dealt = shared_dir(spark, "dealt_terms")
         dealt_to_blocks(rows, blocks).write.partitionBy("block").parquet(dealt)
         table = spark.read.parquet(dealt)
         for block in range(blocks):
-            vector_sums(table.filter(F.col("block") == block), least_documents).write.parquet(f"{path}/block={block}")
+            of_block = table.filter(F.col("block") == block)
+            vector_sums(of_block, fitted(of_block, least_documents)).write.parquet(f"{path}/block={block}")
     return groups, spark.read.parquet(path).select("lang", "source", "block", "place", "term", "count")
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 * terms)), exact; null for an empty vocabulary."""
-    wide = "decimal(38, 0)"
-    return F.call_function("div", F.lit(SCALE).cast(wide) * (count + 2).cast("decimal(20, 0)"), (total + 2 * terms).cast("decimal(20, 0)")) + 1
+    upper, lower = count + 2, total + 2 * terms
+    wide = _divide(F.lit(SCALE).cast("decimal(38, 0)") * upper.cast("decimal(20, 0)"), lower.cast("decimal(20, 0)"))
+    return F.when(upper < 2**63 // SCALE, _divide(SCALE * upper, lower)).otherwise(wide) + 1
 
 
 def _divide(upper: Column, lower: Column) -> Column:
