@@ -11,7 +11,8 @@ from watchfold.operators.events import event_columns
 from watchfold.operators.features import busy_keys, extract_features, feature_rows
 from watchfold.operators.ranks import first_of_each, ordered_parts, running
 from watchfold.schema import FEATURES
-from watchfold.streaming.features import FeatureStream
+from watchfold.streaming.feeds import run_available
+from watchfold.streaming.features import feature_stream
 
 HEADER = "id string, ts double, ip string, user string, fail boolean, port int, dip string, nbytes bigint, lat double, lon double"
 
@@ -132,22 +133,48 @@ def test_tables_without_busy_keys_are_left_as_they_are(spark):
     assert {r.entity for r in entities.collect()} and all(r.n > 2 for r in (seconds.collect() if seconds else []))
 
 
+def replayed(spark, root, steps):
+    """The stream over steps of rows, restarted after each; all its output so far."""
+    for rows in steps:
+        frame = events(spark, rows or [next(iter(filter(None, steps)))[0]])
+        (frame if rows else frame.filter("false")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = feature_stream(spark.readStream.schema(frame.schema).parquet(f"{root}/in"))
+        run_available(stream, f"{root}/checkpoint", f"{root}/out")
+    return spark.read.parquet(f"{root}/out")
+
+
 def test_micro_batches_equal_one_batch(spark, tmp_path):
     rows = random_rows(240, 7, 0.5)
-    stream = FeatureStream(spark, str(tmp_path), compact_every=2)
     ordered = sorted(rows, key=lambda r: (r[1], int(r[0])))
-    cuts = [0, 60, 61, 61, 150, 240]  # one micro-batch is empty
-    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        # Equal times stay in one micro-batch only by chance; arrival order decides either way.
-        stream(events(spark, ordered[a:b]) if b > a else events(spark, ordered[:1]).filter("false"), n)
-    f = spark.read.parquet(f"{tmp_path}/features")
-    compare({r.id: [r[c] for c in FEATURES] for r in f.collect()}, sequential(rows))
-
-
-def test_retried_micro_batch_changes_nothing(spark, tmp_path):
-    rows = sorted(random_rows(80, 9, 0.5), key=lambda r: (r[1], int(r[0])))
-    stream = FeatureStream(spark, str(tmp_path))
-    for n, part in ((0, rows[:40]), (1, rows[40:]), (1, rows[40:])):
-        stream(events(spark, part), n)
-    f = spark.read.parquet(f"{tmp_path}/features")
-    compare({r.id: [r[c] for c in FEATURES] for r in f.collect()}, sequential(rows))
+    cuts = [0, 60, 61, 150, 240]
+    out = replayed(spark, str(tmp_path), [ordered[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    assert out.filter("late").count() == 0
+    compare(nine(out), sequential(rows))
+
+
+def test_late_rows_are_told_apart(spark, tmp_path):
+    """Rows within the delay still count; rows whose slot is over are given back without features."""
+    def row(i, ts, port=22):
+        return (str(i), 1_700_000_100.0 + ts, "10.0.0.1", None, False, port, "1.1.1.1", 5, None, None)
+    steps = [[row(1, 0), row(2, 10)], [row(3, 4000)], [row(4, 20), row(5, 3990, 80), row(6, 4001)], [row(7, 4002)]]
+    out = {r.id: r for r in replayed(spark, str(tmp_path), steps).collect()}
+    assert {i for i, r in out.items() if r.late} == {"4"}
+    assert out["4"].event_count_1m is None and out["4"].tod_zscore is None
+    assert [out[i].event_count_1m for i in ("1", "2", "3", "5", "6", "7")] == [1, 2, 1, 1, 3, 4]
+    assert (out["6"].distinct_dest_ports, out["6"].bytes_transferred) == (2, 15)
+
+
+def test_state_is_cleared_behind_the_watermark(spark, tmp_path):
+    """Slots of passed hours leave the state, however many steps come."""
+    root, kept = str(tmp_path), []
+    for step in range(4):
+        rows = [(str(100 * step + i), 1_700_000_100.0 + step * 7200 + i, f"10.0.0.{i % 3}", None, False, 22, "1.1.1.1", 5, 1.0, 2.0) for i in range(30)]
+        frame = events(spark, rows)
+        frame.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = feature_stream(spark.readStream.schema(frame.schema).parquet(f"{root}/in"))
+        query = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").option(
+            "path", f"{root}/out").start()
+        query.awaitTermination()
+        kept.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+    assert spark.read.parquet(f"{root}/out").count() == 120
+    assert kept[-1] <= kept[0] * 1.5

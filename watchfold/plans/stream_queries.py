@@ -8,15 +8,17 @@ from ..functions.keys import epoch_bucket
 from ..operators import scoring
 from ..operators.normalize_cloud import normalize_cloudtrail
 from ..operators.features import windowed_counts
+from ..operators.relational_models import given_model
 from ..schema import ALERTS, FEATURES
 from ..session import reliable, shared_dir
 from ..sources.logs import read_lines
 from ..sources.tables import read_table
 from ..streaming import feeds
-from ..streaming.features import FeatureStream
+from ..streaming.features import feature_stream
 from .driver_tables import (activity, activity_columns, alert_table, as_security_events, incident_table, table)
 from .feature_queries import ORACLES as FEATURE_ORACLES
 from .incident_queries import AKPI, IA, KPI
+from .model_queries import GIVEN
 from .raw_lines import auth_lines, cloud_lines, syslog_lines
 from .reference_sql import EV
 from .source_queries import AUTH_ACTION, AUTH_OUTCOME, CLOUD_ACTION, INGEST, R
@@ -56,20 +58,33 @@ def dead_letters(spark, sf):
             .unionByName(spark.read.parquet(bad).groupBy(F.lit("dead letter").alias("action")).agg(F.count(F.lit(1)).alias("n"))))
 
 
+def upserted(spark, stream, name, keys):
+    """The present state of a windowed aggregation, open windows included."""
+    out = shared_dir(spark, name)
+    feeds.run_available(stream, shared_dir(spark, name + "-checkpoint"), each_batch=feeds.upsert_writer(out), mode="update")
+    return feeds.latest(spark, out, keys)
+
+
 def windows(spark, sf):
     w = windowed_counts(event_stream(spark, sf), "5 minutes", "1 minute", watermark=feeds.WATERMARK)
-    return replay(spark, w, "windows").select("entity", F.unix_micros("window_start").alias("start_us"), "events", "failures", "bytes")
+    present = upserted(spark, w, "windows", ["entity", "window_start"])
+    return present.select("entity", F.unix_micros("window_start").alias("start_us"), "events", "failures", "bytes")
 
 
 def clusters(spark, sf):
     c = feeds.cluster_stream(event_stream(spark, sf), F.col("event.action"))
-    return replay(spark, c, "clusters").select("entity", "technique_id", F.unix_micros("window_start").alias("start_us"), "cluster_size")
+    present = upserted(spark, c, "clusters", ["entity", "technique_id", "window_start"])
+    return present.select("entity", "technique_id", F.unix_micros("window_start").alias("start_us"), "cluster_size")
 
 
 def sessions(spark, sf):
+    """Closed sessions as the stream wrote them, and those its state holds open at the end of the input."""
     s = feeds.session_stream(event_stream(spark, sf), F.col("event.action"))
-    return replay(spark, s, "sessions").select("entity", "technique_id", F.unix_micros("session_start").alias("start_us"),
-                                               F.unix_micros("session_end").alias("end_us"), "alert_count")
+    out, checkpoint = shared_dir(spark, "sessions"), shared_dir(spark, "sessions-checkpoint")
+    feeds.run_available(s, checkpoint, out)
+    every = spark.read.schema(s.schema).parquet(out).unionByName(feeds.open_sessions(spark, checkpoint))
+    return every.select("entity", "technique_id", F.unix_micros("session_start").alias("start_us"),
+                        F.unix_micros("session_end").alias("end_us"), "alert_count")
 
 
 def deduplicated(spark, sf):
@@ -81,31 +96,56 @@ def deduplicated(spark, sf):
     return replay(spark, feeds.emit_once(stream), "once").select("id", "incident_id")
 
 
-def in_steps(spark, sf, process):
-    """Replays the activity in three time-ordered steps, the stream restarting between them."""
-    source, checkpoint = shared_dir(spark, "steps"), shared_dir(spark, "steps-checkpoint")
+STEP_FILES = 8
+
+
+def in_steps(spark, sf, of_stream, name, path=None, each_batch=None):
+    """Replays the activity in time-ordered micro-batches of a third each."""
+    source = shared_dir(spark, name + "-steps")
     events = table(spark, sf, "events")
-    span = events.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).first()[0]
-    cuts = [span["lo"] + (span["hi"] - span["lo"]) * i / 3 for i in (1, 2)]
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = events
-        if low is not None:
-            part = part.filter(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
-        if high is not None:
-            part = part.filter(F.col("ts") < F.lit(high).cast("timestamp_ntz"))
-        part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(events.schema).parquet(source)
-        feeds.run_available(as_security_events(activity_columns(stream)), checkpoint, each_batch=process)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    third = F.least(F.floor((us - low) * 3 / F.lit(max(high - low, 1))), F.lit(2))
+    for step in range(3):
+        events.filter(third == step).repartition(STEP_FILES).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STEP_FILES).parquet(source)
+    feeds.run_available(of_stream(as_security_events(activity_columns(stream))), shared_dir(spark, name + "-checkpoint"), path, each_batch=each_batch)
 
 
 def stream_features(spark, sf):
-    root = shared_dir(spark, "feature-stream")
-    in_steps(spark, sf, FeatureStream(spark, root, compact_every=2))
-    f = spark.read.parquet(f"{root}/features")
+    out = shared_dir(spark, "stream-features")
+    in_steps(spark, sf, feature_stream, "stream-features", path=out)
+    f = spark.read.parquet(out).filter(~F.col("late"))
     return f.select(F.col("id").cast("bigint").alias("event_id"), "entity", *[F.round(c, 4).alias(c) for c in FEATURES])
 
 
+def late_events(spark, sf):
+    """Every tenth event of the first half is held back until all others have arrived."""
+    source, checkpoint, out = (shared_dir(spark, n) for n in ("late-steps", "late-checkpoint", "late-out"))
+    events = table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = events.agg(((F.min(us) + F.max(us)) / 2).alias("m")).first()[0]
+    held = (us <= F.lit(middle)) & (F.col("event_id") % 10 == 0)
+    for part in (events.filter(~held), events.filter(held)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        feeds.run_available(feature_stream(as_security_events(activity_columns(stream))), checkpoint, out)
+    return spark.read.parquet(out).filter("late").select(F.col("id").cast("bigint").alias("event_id"), "entity")
+
+
+def stream_alerts_given_model(spark, sf):
+    """Stream features scored by the given model in every micro-batch; events above the threshold become alerts."""
+    root = shared_dir(spark, "given-alerts")
+    model = given_model(spark)
+
+    def store(features, batch_id):
+        hot = scoring.score(features.filter(~F.col("late")), model).filter("anomaly_score > 0.4")
+        hot.select("id", "entity", "anomaly_score").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    in_steps(spark, sf, feature_stream, "given-alerts", each_batch=store)
+    return spark.read.parquet(root).select(F.col("id").cast("bigint").alias("event_id"), "entity", F.round("anomaly_score", 3).alias("anomaly_score"))
+
+
 def stream_alerts(spark, sf):
     """Stream features scored by a stored model; events above the threshold become alerts."""
     from .feature_queries import all_features
@@ -115,10 +155,10 @@ def stream_alerts(spark, sf):
     root = shared_dir(spark, "alert-stream")
 
     def store(features, batch_id):
-        hot = scoring.score(features, model).filter("anomaly_score > 0.4")
+        hot = scoring.score(features.filter(~F.col("late")), model).filter("anomaly_score > 0.4")
         hot.select("id", "entity", "us", "anomaly_score", "top_features").write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
 
-    in_steps(spark, sf, FeatureStream(spark, root, sink=store))
+    in_steps(spark, sf, feature_stream, "alert-stream", each_batch=store)
     return spark.read.parquet(f"{root}/alerts").select(F.col("id").cast("bigint").alias("event_id"), "entity", "anomaly_score")
 
 
@@ -142,12 +182,12 @@ def kpi_refresh(spark, sf):
 QUERIES = {
     "stream_normalized_topics": normalized, "stream_dead_letters": dead_letters, "stream_windowed_counts": windows,
     "stream_clusters": clusters, "stream_sessions": sessions, "stream_alerts_once": deduplicated,
-    "stream_feature_vector": stream_features, "stream_scored_alerts": stream_alerts, "stream_kpi_refresh": kpi_refresh,
+    "stream_feature_vector": stream_features, "stream_scored_alerts": stream_alerts,
+    "stream_scored_given_model": stream_alerts_given_model, "stream_late_rows": late_events, "stream_kpi_refresh": kpi_refresh,
 }
 
 SYSLOG_ACTION = ("CASE event_type WHEN 'error' THEN 'ssh_login_failed' WHEN 'signup' THEN 'ssh_login_success' "
                  "WHEN 'view' THEN 'ssh_login_success' ELSE 'syslog_message' END")
-CLOSED = "(SELECT max(us) - 600000000 FROM e)"
 
 ORACLES = {
     "stream_normalized_topics": f"""{R} SELECT 'auth_log' AS source_type, {AUTH_ACTION} AS action, count(*) AS n FROM r GROUP BY ALL
@@ -156,17 +196,21 @@ ORACLES = {
         FROM r GROUP BY ALL""",
     "stream_windowed_counts": f"""WITH {EV} SELECT entity, start_us, count(*) AS events, count(*) FILTER (outcome = 'failure') AS failures,
           CAST(sum(nbytes) AS BIGINT) AS bytes
-        FROM (SELECT *, unnest(range(5)) AS i, (us // 60000000 - i) * 60000000 AS start_us FROM e)
-        WHERE start_us + 300000000 <= {CLOSED} GROUP BY ALL""",
+        FROM (SELECT *, unnest(range(5)) AS i, (us // 60000000 - i) * 60000000 AS start_us FROM e) GROUP BY ALL""",
     "stream_clusters": f"""WITH {EV} SELECT entity2 AS entity, action AS technique_id, bucket * 300000000 AS start_us,
-        count(*) AS cluster_size FROM e WHERE bucket * 300000000 + 300000000 <= {CLOSED} GROUP BY ALL""",
-    "stream_sessions": f"""WITH {EV}, g AS (SELECT *, coalesce(us - lag(us) OVER w >= 300000000, true) AS fresh FROM e
+        count(*) AS cluster_size FROM e GROUP BY ALL""",
+    "stream_sessions": f"""WITH {EV}, g AS (SELECT *, coalesce(us - lag(us) OVER w > 300000000, true) AS fresh FROM e
           WINDOW w AS (PARTITION BY entity2, action ORDER BY us, event_id)),
         s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY entity2, action ORDER BY us, event_id
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)
         SELECT entity2 AS entity, action AS technique_id, min(us) AS start_us, max(us) + 300000000 AS end_us, count(*) AS alert_count
-        FROM s GROUP BY entity2, action, sid HAVING max(us) + 300000000 <= {CLOSED}""",
+        FROM s GROUP BY entity2, action, sid""",
     "stream_alerts_once": f"{IA} SELECT id, incident_id FROM al",
     "stream_feature_vector": FEATURE_ORACLES["feature_vector"],
+    "stream_scored_given_model": f"""{GIVEN} SELECT event_id, entity, round(CAST(printf('%.4f', blended) AS DOUBLE), 3) AS anomaly_score
+        FROM scored JOIN e USING (event_id) WHERE CAST(printf('%.4f', blended) AS DOUBLE) > 0.4""",
+    "stream_late_rows": f"""WITH {EV}, half AS (SELECT (min(raw_us) + max(raw_us)) / 2 AS middle FROM e),
+        h AS (SELECT e.*, raw_us <= middle AND event_id % 10 = 0 AS held FROM e CROSS JOIN half)
+        SELECT event_id, entity FROM h WHERE held AND (bucket + 1) * 300000 <= (SELECT max(us) // 1000 - 600000 FROM h WHERE NOT held)""",
     "stream_kpi_refresh": f"{IA} SELECT * FROM (SELECT {KPI} FROM inc) CROSS JOIN (SELECT {AKPI} FROM al)",
 }

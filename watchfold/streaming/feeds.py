@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import entity_cluster
 from ..functions.text import strip
 from ..operators.dashboards import kpis
 from ..operators.normalize_flow import normalize_cicids
+from ..settings import CLUSTER_WINDOW
 from ..sources.logs import get_normalizer, read_flows, read_lines, split_bad, union_events
 
 WATERMARK = "10 minutes"
@@ -65,13 +66,47 @@ def cluster_stream(events: DataFrame, technique, delay: str = WATERMARK) -> Data
         "entity", "technique_id", F.col("w.start").alias("window_start"), "cluster_size")
 
 
-def session_stream(events: DataFrame, technique, gap: str = "5 minutes", delay: str = WATERMARK) -> DataFrame:
-    """Incident sessions per (entity, technique): closed once no event came within the gap."""
+def session_stream(events: DataFrame, technique, gap: int = CLUSTER_WINDOW, delay: str = WATERMARK) -> DataFrame:
+    """Incident sessions per (entity, technique): a gap of more than ``gap`` seconds closes one, as in batch.
+
+    Spark's session window takes a gap of its own length as closed, so it is one microsecond longer here;
+    ``session_end`` is ``gap`` after the last event.
+    """
     keyed = events.select("timestamp", entity_cluster().alias("entity"), technique.alias("technique_id"))
     return keyed.withWatermark("timestamp", delay).groupBy(
-        F.session_window("timestamp", gap).alias("w"), "entity", "technique_id").agg(
+        F.session_window("timestamp", f"{gap} seconds 1 microsecond").alias("w"), "entity", "technique_id").agg(
         F.count(F.lit(1)).alias("alert_count")).select(
-        "entity", "technique_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "alert_count")
+        "entity", "technique_id", F.col("w.start").alias("session_start"), _last_instant(F.col("w.end")).alias("session_end"), "alert_count")
+
+
+def _last_instant(end: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(end) - 1)
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Sessions of `session_stream` that its state still holds open, read from the checkpoint of its stopped query.
+
+    Together with what the stream has written they are the sessions of all input so far.
+    """
+    state = spark.read.format("statestore").option("path", checkpoint).load()
+    return state.select(
+        F.col("key.entity").alias("entity"), F.col("key.technique_id").alias("technique_id"),
+        F.col("value.session_window.start").alias("session_start"), _last_instant(F.col("value.session_window.end")).alias("session_end"),
+        F.col("value.count").alias("alert_count"))
+
+
+def upsert_writer(path: str):
+    """foreachBatch function for update mode: the windows that a micro-batch changed, open ones included."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The present row of every key of an `upsert_writer` table."""
+    rows = spark.read.parquet(path)
+    present = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("_row"))
+    return present.select(*keys, "_row.*").drop("batch")
 
 
 def kpi_writer(incidents: Callable[[], DataFrame], alerts: Callable[[], DataFrame], path: str):
