@@ -85,6 +85,23 @@ def test_steps_use_gradient_sums_over_all_rows(normal):
         assert train_autoencoder(normal.repartition(parts), epochs=2, steps=2) == pytest.approx(state["w"], abs=1e-9)
 
 
+def test_epochs_as_one_stage_and_as_single_jobs_agree(spark, normal, monkeypatch):
+    """The two ways of running a step give the same weights, also with fewer rows than tasks."""
+    one = train_autoencoder(normal, epochs=1, steps=3)
+    few = train_autoencoder(normal.limit(5), epochs=2, steps=3, batch=2)
+    from watchfold.operators import autoencoder as A
+
+    def by_jobs(rows, order, state, rate):
+        for b in order.tolist():
+            g = A.mean_gradient(rows.filter(F.col("_b") == b).select(*FEATURES), state["w"])
+            if g is not None:
+                adam(g, state, rate)
+        return state
+    monkeypatch.setattr(A, "_epoch_in_one_stage", by_jobs)
+    assert train_autoencoder(normal, epochs=1, steps=3) == pytest.approx(one, abs=1e-9)
+    assert train_autoencoder(normal.limit(5), epochs=2, steps=3, batch=2) == pytest.approx(few, abs=1e-9)
+
+
 def test_models_are_fitted_on_all_rows(spark, monkeypatch):
     from watchfold.plans import model_queries as q
     seen = []

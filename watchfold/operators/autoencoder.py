@@ -1,17 +1,22 @@
 """Autoencoder 9-32-16-8-16-32-9 with ReLU, trained by mini-batch Adam on gradient sums.
 
-A hash of the key deals all rows to batches of at least 256, at most 40 of them, so batches grow with
-the table and the number of steps does not. Each step sums the gradient over all rows of its batch in
-the tasks, and Adam moves the weights on the driver; an epoch uses every batch once, in its own order.
-Only the 1,969 gradient sums reach the driver. Repeats agree up to the rounding of sums.
+A hash of the key deals all rows to batches of at least 256, at most ``steps`` of them, so batches grow with the
+table and the number of steps does not. An epoch is one Spark job: a barrier stage whose tasks read their rows in
+the epoch's order of batches, in constant memory. After each batch they exchange their 1,969 gradient sums, and
+every task moves its own copy of the weights, so all copies stay equal. Repeats agree up to the rounding of sums.
+
+Where executors come and go with the load (dynamic allocation), which barrier stages do not allow, every step is
+a job of its own and Adam moves the weights on the driver; the weights are the same.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,7 @@ LAYERS = [9, 32, 16, 8, 16, 32, 9]
 LINEAR = {2, 5}  # the bottleneck and the output have no ReLU
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.001, 42
 STEPS = 40  # of an epoch, at most
+TASKS = 64  # of the barrier stage, at most: every task receives the sums of all
 
 
 def shapes() -> list[tuple[int, int]]:
@@ -90,18 +96,65 @@ def train_autoencoder(features: DataFrame, key: str = "id", epochs: int = EPOCHS
     spark, path = features.sparkSession, shared_dir(features.sparkSession, "batches")
     count = max(1, min(steps, math.ceil(features.count() / batch)))
     number = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(count)).cast("int")
-    features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], number.alias("_b")).write.partitionBy("_b").parquet(path)
-    rows = spark.read.schema(", ".join(f"{c} double" for c in FEATURES) + ", _b int").parquet(path)
+    features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], number.alias("_b"),
+                    F.xxhash64(F.col(key), F.lit(seed + 1)).alias("_h")).write.partitionBy("_b").parquet(path)
+    rows = spark.read.schema(", ".join(f"{c} double" for c in FEATURES) + ", _h long, _b int").parquet(path)
     state = {"w": initial_weights(seed), "t": 0}
     state.update(m=np.zeros_like(state["w"]), v=np.zeros_like(state["w"]))
+    together = spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
     for epoch in range(epochs):
-        for b in np.random.default_rng([seed, epoch]).permutation(count).tolist():
+        order = np.random.default_rng([seed, epoch]).permutation(count)
+        if together:
+            state = _epoch_in_one_stage(rows, order, state, rate)
+            continue
+        for b in order.tolist():
             g = mean_gradient(rows.filter(F.col("_b") == b).select(*FEATURES), state["w"])
             if g is not None:
                 adam(g, state, rate)
     return state["w"]
 
 
+def _epoch_in_one_stage(rows: DataFrame, order: np.ndarray, state: dict, rate: float) -> dict:
+    """The state after one pass over all batches in the given order."""
+    tasks = max(1, min(TASKS, rows.sparkSession.sparkContext.defaultParallelism))
+    place = np.argsort(order)
+    placed = rows.select(*FEATURES, "_h", F.get(F.array(*[F.lit(int(p)) for p in place]), F.col("_b")).alias("_p"))
+    dealt = placed.repartition(tasks, "_h").sortWithinPartitions("_p").select(*FEATURES, "_p")
+    start = {k: (v if k == "t" else v.copy()) for k, v in state.items()}
+
+    def run(batches):
+        context, now, at = BarrierTaskContext.get(), start, 0
+        total = np.zeros(len(now["w"]) + 1)
+
+        def finish() -> None:
+            """The batch is over in this task: exchange sums, move the weights."""
+            told = context.allGather(base64.b64encode(total.tobytes()).decode())
+            sums = np.sum([np.frombuffer(base64.b64decode(t)) for t in told], axis=0)
+            if sums[-1]:
+                adam(sums[:-1] / sums[-1], now, rate)
+            total[:] = 0
+
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]])
+            p = batch.column(len(FEATURES)).to_numpy(zero_copy_only=False)
+            for here in np.unique(p).tolist():
+                while at < here:
+                    finish()
+                    at += 1
+                some = x[p == here]
+                total[:-1] += gradient(some, now["w"]) * len(some)
+                total[-1] += len(some)
+        while at < len(order):
+            finish()
+            at += 1
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now["w"]))), *[pa.array(now[k]) for k in "wmv"],
+                                              pa.array(np.full(len(now["w"]), now["t"]))], ["i", "w", "m", "v", "t"])
+
+    after = dealt.mapInArrow(run, "i long, w double, m double, v double, t long", barrier=True).toPandas().sort_values("i")
+    return {"t": int(after["t"].iloc[0]), **{k: after[k].to_numpy() for k in "wmv"}}
+
+
 def mean_gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray | None:
     """Gradient of the mean error over all ``rows`` (the features), summed in the tasks; None without rows."""
 
