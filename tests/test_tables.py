@@ -95,3 +95,14 @@ def test_conditions_that_may_fail_are_left_out(spark, condition):
 def test_conditions_on_numbers_stay(spark):
     good, bad = split_rules(spark, [Rule("r", "T1", "n", "t", "dest_port > -1 and anomaly_score >= 1 and bytes_transferred > 2.5"), *load_rules()])
     assert bad == [] and len(good) == 1 + len(load_rules())
+
+
+def test_flow_lines_with_other_fields_are_left_to_the_quarantine(spark, tmp_path):
+    """Reading flow files as events takes the good lines only; the others are in the quarantine, whole."""
+    from watchfold.sources.logs import read_events, split_flows
+    (tmp_path / "flows.csv").write_text("Source IP,Destination IP,Destination Port,Label\n10.0.0.1,10.0.0.2,80,BENIGN\n10.0.0.3,short\n"
+                                        "10.0.0.4,10.0.0.5,22,DDoS\n1,2,3,4,5,6\n")
+    events = read_events(spark, str(tmp_path), "cicids")
+    assert sorted(r.ip for r in events.select("source.ip").collect()) == ["10.0.0.1", "10.0.0.4"]
+    good, bad = split_flows(spark, str(tmp_path))
+    assert good.count() == 2 and sorted(r.raw for r in bad.collect()) == ["1,2,3,4,5,6", "10.0.0.3,short"]

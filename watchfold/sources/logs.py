@@ -82,10 +82,10 @@ def split_flows(spark: SparkSession, path, columns: list[str] | None = None, **o
 
 
 def read_events(spark: SparkSession, path, source_type: str, **kwargs) -> DataFrame:
-    """Raw files of one source type as events; bad records are left to ``split_bad``."""
+    """Raw files of one source type as events; bad records are left to ``split_bad`` and ``split_flows``."""
     normalize = get_normalizer(source_type)
     if normalize is normalize_cicids:
-        return normalize(read_flows(spark, path), **kwargs)
+        return normalize(split_flows(spark, path)[0], **kwargs)
     return normalize(read_lines(spark, path), **kwargs)
 
 
