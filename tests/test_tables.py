@@ -106,3 +106,14 @@ def test_flow_lines_with_other_fields_are_left_to_the_quarantine(spark, tmp_path
     assert sorted(r.ip for r in events.select("source.ip").collect()) == ["10.0.0.1", "10.0.0.4"]
     good, bad = split_flows(spark, str(tmp_path))
     assert good.count() == 2 and sorted(r.raw for r in bad.collect()) == ["1,2,3,4,5,6", "10.0.0.3,short"]
+
+
+def test_daily_counts_let_the_scan_skip_files(spark, tmp_path):
+    from watchfold.operators.dashboards import per_day
+    rows = spark.createDataFrame([("2024-01-01 23:59:59.999999",), ("2024-01-02 00:00:00",), ("2024-01-03 23:59:59.999999",), ("2024-01-04 00:00:00",),
+                                  (None,)], "t string").select(F.col("t").cast("timestamp").alias("created_at"))
+    rows.write.parquet(str(tmp_path / "alerts"))
+    counted = per_day(spark.read.parquet(str(tmp_path / "alerts")), "2024-01-03", 2)
+    assert sorted((str(r.day), r.n) for r in counted.collect()) == [("2024-01-02", 1), ("2024-01-03", 1)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in plan and "LessThan(created_at" in plan
