@@ -99,6 +99,25 @@ def test_near_duplicates_keep_one_of_each(texts):
     assert {r.doc_id for r in rows if r.kept} == {c for _, c in expected.values()}
 
 
+def test_near_duplicates_of_repeated_and_null_ids(texts):
+    """Id 1 has two texts with a neighbour each, id 2 stands twice with one text; null ids link like others."""
+    one, two, three = ([t, t + " more"] for t in edited_family(21, 1) + edited_family(22, 1) + edited_family(23, 1))
+    rows = [(1, one[0]), (1, two[0]), (3, one[1]), (4, two[1]), (None, one[0]), (2, "a b c d e f"), (2, "a b c d e f"),
+            (None, three[0]), (None, three[1]), (None, None), (5, "")]
+    numbered = list(enumerate((t for _, t in rows)))
+    root = {i: c for i, (_, c) in linked_components(numbered, 5).items()}
+    got = minhash.near_duplicates(texts(*rows)).collect()
+    expected = []
+    for i, (own, text) in enumerate(rows):
+        ids = [d for j, (d, _) in enumerate(rows) if root[j] == root[i] and d is not None]
+        expected.append((own, len(shingles(text, 5)), min(ids, default=None)))
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got)
+    left = sorted(repr((r.doc_id, r.text)) for r in minhash.keep_one(texts(*rows)).collect())
+    third = min(three, key=lambda t: hashlib.md5(f":{t}".encode()).digest())
+    assert left == sorted(map(repr, [(1, one[0]), (1, two[0]), (2, "a b c d e f"), (None, third), (None, None), (5, "")]))
+    assert minhash.keep_one(texts()).count() == 0
+
+
 def test_near_duplicates_of_nothing(texts):
     assert minhash.near_duplicates(texts()).count() == 0
 
@@ -153,6 +172,20 @@ def test_repeats_of_test_table(spark):
     assert got == {i: rest for i, *rest in map(lambda e: (e[0], *e[1:]), expected)} or got == {e[0]: tuple(e[1:]) for e in expected}
 
 
+def test_repeats_keep_texts_of_equal_short_hashes_apart(spark, texts):
+    """Two texts that Spark's 32-bit hash does not tell apart, without ids; the second is unique."""
+    seen, draw = {}, random.Random(8)
+    pool = [" ".join(f"w{draw.randrange(10 ** 9)}" for _ in range(12)) for _ in range(200_000)]
+    for h, text in zip((r[0] for r in spark.createDataFrame([(t,) for t in pool], "t string").select(F.hash("t")).collect()), pool):
+        if h in seen:
+            break
+        seen[h] = text
+    pairs = [(None, seen[h]), (None, seen[h]), (None, text), (-1, "x " * 3), (None, "x " * 3)]
+    assert seen[h] != text
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(texts(*pairs), 8).collect()), key=repr)
+    assert got == without_repeats(pairs, 8)
+
+
 def test_repeats_of_nothing(texts):
     assert repeats.remove_repeats(texts(), 35).count() == 0
 
@@ -379,6 +412,23 @@ def test_mix_takes_add_up_to_budgets(texts):
     assert mixing.select_mix(texts(), F.lit("d"), {c: F.lit(1) for c in mixing.LEVELS}).count() == 0
 
 
+@pytest.mark.parametrize("epochs,share", [(1, 0.7), (2, 1.4)])
+def test_mixed_documents_are_cut_at_the_budget(texts, epochs, share):
+    pairs = [(i, t) for i, t in enumerate(made(4, 60))] + [(3, " again  and\tagain "), (3, " again  and\tagain "), (None, "a b"), (None, "a b"), (70, None), (71, "")]
+    docs, ones = texts(*pairs), {c: F.lit(1) for c in mixing.LEVELS}
+    rows = mixing.mixed_documents(docs, F.lit("d"), ones, share, epochs).collect()
+    count = lambda t: len(WORDS.findall(t or ""))
+    assert sum(count(r.text) for r in rows) == int(sum(count(t) for _, t in pairs) * share)
+    whole = Counter(pairs)
+    cut = [r for r in rows if (r.doc_id, r.text) not in whole]
+    assert len(cut) <= 1
+    for r in cut:
+        assert any(i == r.doc_id and t.startswith(r.text) and not r.text[-1].isspace() for i, t in pairs)
+    assert all(n <= epochs * whole[k] for k, n in Counter((r.doc_id, r.text) for r in rows if r not in cut).items())
+    assert rows[0].__fields__ == docs.columns
+    assert mixing.mixed_documents(texts(), F.lit("d"), ones, 0.8, 1).count() == 0
+
+
 def test_mix_weight_zero_takes_nothing(spark):
     leaves = spark.createDataFrame([("d", "en", "a", 100), ("e", "en", "b", 100)], "domain string, lang string, source string, tokens long")
     weights = {"domain": F.when(F.col("domain") == "d", 1).otherwise(0), "lang": F.lit(1), "source": F.lit(1)}

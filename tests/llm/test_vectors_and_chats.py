@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from watchfold.llm import chat, forest, hamming, queries
 
@@ -59,6 +60,15 @@ def test_leaves_compared_in_blocks(spark, clouds, monkeypatch):
     assert got == exact_links(clouds, 0.93)
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    """Id 5 stands for two vectors at right angles, each with a neighbour; rows without id link like others."""
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (7, [1.0, 0.1, 0.0], 1), (8, [0.1, 1.0, 0.0], 1),
+            (None, [0.0, 0.0, 1.0], 1), (None, [0.0, 0.1, 1.0], 1), (None, [1.0, 0.0, 0.0], 1), (None, None, 1), (9, [0.0, 0.0, 1.0], None)]
+    got = sorted((repr((r.vec_id, r.n_links, r.component_id, r.kept)) for r in forest.near_duplicates(vectors(spark, rows), 0.93).collect()))
+    assert got == sorted(map(repr, [(5, 2, 5, True), (5, 1, 5, True), (7, 2, 5, False), (8, 1, 5, False), (None, 1, None, True),
+                                    (None, 1, None, True), (None, 2, 5, False), (None, 0, None, True), (9, 0, 9, True)]))
+
+
 def test_vector_near_duplicates_of_nothing(spark):
     assert forest.near_duplicates(vectors(spark, [])).count() == 0
 
@@ -91,6 +101,24 @@ def test_hamming_of_a_crowded_segment(spark):
     assert {tuple(r) for r in got} == brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 10)
 
 
+@pytest.mark.parametrize("dim,centres", [(128, None), (100, 5)])
+def test_hamming_of_long_vectors(spark, dim, centres):
+    """Codes of two words, without and with near neighbours; one vector is shorter."""
+    draw = np.random.default_rng(dim)
+    x = draw.standard_normal((300, dim))
+    if centres:
+        x = x[draw.integers(0, centres, 300)] + 0.15 * x
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)] + [(300, [1.0] * 70, 1)]
+    base = vectors(spark, rows)
+    bits = hamming.longest(base, "embedding")
+    coded = base.select(F.col("vec_id").alias("id"), hamming.sign_code("embedding", bits).alias("code"))
+    got = hamming.nearest(coded.filter("id % 20 = 0"), coded, 5).collect()
+    codes = [(i, sum(1 << k for k, c in enumerate(v) if c > 0)) for i, v, _ in rows]
+    expected = {(q, r + 1, i, d) for q, c in codes if q % 20 == 0
+                for r, (d, i) in enumerate(sorted(((c ^ b).bit_count(), i) for i, b in codes if i != q)[:5])}
+    assert bits == dim and {tuple(r) for r in got} == expected
+
+
 def test_hamming_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, code long")
     assert hamming.nearest(empty, empty).count() == 0
@@ -124,7 +152,7 @@ def test_adjacent_turns_share_a_block(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     names = sorted(df.columns)

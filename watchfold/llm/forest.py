@@ -180,18 +180,20 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, trees: int = 12, leaf:
     Vectors of one label whose cosine in double precision is ``least`` or more are linked. A vector that is
     null, empty, zero or holds a null or non-finite component, or has no label, links with nothing; vectors of
     different length do not link. Equal vectors of a label are one class from the start, and every one of
-    them is linked with the others. Rows without ``vec_id`` are left out; other columns are ignored; an empty
-    table gives an empty result.
+    them is linked with the others. Classes go by label and vector, so rows of one ``vec_id`` link each for itself.
+    Rows without ``vec_id`` link like others; a component of such rows only has a null ``component_id`` and keeps
+    them. Other columns are ignored; an empty table gives an empty result.
     """
     given = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"),
-                        F.col("label").cast("int")).filter("vec_id is not null")
+                        F.col("label").cast("int"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = (F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.coalesce(finite, F.lit(False))
               & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False)))
     marked = given.withColumn("usable", usable)
     classes = reliable(marked.filter("usable").groupBy("label", "embedding").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "label", "copies", "embedding"), "vectors")
-    leaves = reliable(grow(classes, trees, leaf, slack * np.sqrt(2 - 2 * least)), "leaves")
+        F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("copies")).select(
+        F.monotonically_increasing_id().alias("rep"), "smallest", "label", "copies", "embedding"), "vectors")
+    leaves = reliable(grow(classes.drop("smallest"), trees, leaf, slack * np.sqrt(2 - 2 * least)), "leaves")
     places = leaves.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
     sizes = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
@@ -205,9 +207,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, trees: int = 12, leaf:
     groups = components(found.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = (classes.join(sums, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-             .select("label", "embedding", F.coalesce("component", "rep").alias("component"),
+             .select("label", "embedding", F.coalesce("component", "rep").alias("component"), "smallest",
                      (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n")))
-    linked = marked.filter("usable").join(named, ["label", "embedding"]).select(
-        "vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    least_ids = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    linked = marked.filter("usable").join(named.join(least_ids, "component"), ["label", "embedding"]).select(
+        "vec_id", F.col("n").alias("n_links"), "component_id")
     alone = marked.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -83,12 +83,12 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys): set size, a 128-bit digest of the set, and the bucket keys."""
+    """(doc_id, row, n_shingles, set_a, set_b, keys): the row's digest, set size, a 128-bit digest of the set, and the bucket keys."""
 
     def run(batches):
         for batch in batches:
-            ids, at = batch.column(0), 0
-            for sets in shingle_sets(batch.column(1), width):
+            ids, row, at = batch.column(0), batch.column(1), 0
+            for sets in shingle_sets(batch.column(2), width):
                 lens = np.array([len(s) for s in sets], dtype=np.int64)
                 some = np.flatnonzero(lens)
                 flat = np.concatenate([sets[i] for i in some]) if len(some) else np.zeros(0, dtype=U64)
@@ -106,18 +106,18 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)), pa.array(lens), pa.array(digests[0]), pa.array(digests[1]), lists],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                    [ids.slice(at, len(sets)), row.slice(at, len(sets)), pa.array(lens), pa.array(digests[0]), pa.array(digests[1]), lists],
+                    ["doc_id", "row", "n_shingles", "set_a", "set_b", "keys"])
                 at += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), W.row_key().alias("row"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, row binary, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents named by ``ids`` (id)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    """(id, text) of the rows that ``ids`` (id, row) names by their digest."""
+    rows = docs.select(W.row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.join(ids, "row").select("id", "text").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -199,24 +199,27 @@ def compare_blocks(members: DataFrame, texts: DataFrame, width: int, similarity:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, row, component) of every row of ``docs`` (doc_id, text).
 
     Documents whose shingle sets satisfy ``100 * intersection >= similarity * union`` are linked. Words are
     runs of bytes other than space and 0x09-0x0D, with A-Z in lower case. A text that is null, empty or
-    without words has an empty set and links with nothing; equal sets are one class from the start. Rows
-    without ``doc_id`` are left out; other columns are ignored; an empty table gives an empty result.
+    without words has an empty set and links with nothing; equal sets are one class from the start.
+    Classes go by their sets, so rows of one id with several texts link each for itself. Rows without ``doc_id``
+    link like others; a component of such rows only has a null ``component_id`` and keeps them. ``row`` is
+    the digest ``words.row_key``, ``component`` a number of the component, null for empty sets; other columns are ignored; an empty table gives an empty result.
     """
     signed = reliable(signatures(docs, width, bands, rows), "signatures")
     classes = signed.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(
-        F.min(F.struct("doc_id", "keys")).alias("first"))
-    classes = reliable(classes.select("n_shingles", "set_a", "set_b", F.col("first.doc_id").alias("rep"),
-                                      F.col("first.keys").alias("keys")), "classes")
+        F.min("doc_id").alias("least"), F.min(F.struct("row", "keys")).alias("first"))
+    # The number of a class holds once it is written; ids may repeat or be null.
+    classes = reliable(classes.select("n_shingles", "set_a", "set_b", "least", F.monotonically_increasing_id().alias("rep"),
+                                      F.col("first.row").alias("row"), F.col("first.keys").alias("keys")), "classes")
     members = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = reliable(members.join(hubs, "key"), "buckets")
     stars = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     # Only sets that share a bucket are looked at in full, and their texts are moved once.
-    texts = reliable(texts_of(docs, shared.select(F.col("rep").alias("id")).distinct()), "texts")
+    texts = reliable(texts_of(docs, classes.join(shared.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "row")), "texts")
     linked = confirm(stars, texts, width).filter(F.expr(f"100 * shared >= {similarity} * united"))
     groups = reliable(components(linked), "components")
     placed = shared.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
@@ -232,9 +235,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
     top = reliable(components(lifted), "components").select(F.col("id").alias("component"), F.col("component").alias("over"))
     nodes = groups.union(top.select("component", "component")).distinct()
     groups = nodes.join(top, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
-    named = classes.select("n_shingles", "set_a", "set_b", F.col("rep").alias("id")).join(groups, "id", "left").select(
-        "n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component"))
-    return signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        named, ["n_shingles", "set_a", "set_b"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    grouped = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(smallest, "component").select("n_shingles", "set_a", "set_b", "component_id", "component")
+    return signed.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(
+        named, ["n_shingles", "set_a", "set_b"], "left").withColumn(
+        "component_id", F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "component")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, with all their columns: of each component the row of smallest id.
+
+    Rows equal in id and text are one document. Ties of an id go by the digest of the row; a row without id stays
+    only where its component has none with one. Documents without words stay.
+    """
+    found = reliable(near_duplicates(docs, width, similarity).select("doc_id", "row", "component"), "found")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    first = found.filter("component is not null").groupBy("component").agg(least.alias("first")).select("first.row")
+    others = found.filter("component is null").select("row")
+    at = "row"
+    while at in docs.columns:
+        at += "_"
+    stays = first.union(others).distinct().withColumnRenamed("row", at)
+    return docs.withColumn(at, W.row_key()).join(stays, at, "left_semi").dropDuplicates([at]).select(*docs.columns)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from watchfold.session import reliable
+
 LEVELS = ["domain", "lang", "source"]
 
 
@@ -20,6 +22,12 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def first_words(text: str, count: Column) -> Column:
+    """The text up to the end of its word number ``count``, with the spaces before and between the words."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), count.cast("int")), "")
+
+
 def share_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     """Adds ``alloc`` to ``children`` (parent columns, key, weight, cap, budget): each parent's budget by weight,
     at most ``cap`` each, shortages going to the siblings. Weights above 0 only."""
@@ -56,17 +64,18 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, Column], share: float, ep
 
 
 def select_mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: float = 0.6, epochs: int = 2,
-               seed: int = 1, tokens: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, epoch, n_tokens, take_tokens) of the selected documents.
+               seed: int = 1, tokens: Column | None = None, row: Column | None = None) -> DataFrame:
+    """(doc_id, domain, lang, source, epoch, n_tokens, take_tokens) of the selected documents, and ``row`` if given.
 
     ``domain`` is an expression over ``docs`` (doc_id, text, lang, source); nulls in it, lang and source are
     'unknown'. A row is selected where its place in the order of its leaf and epoch starts before the budget
     ends; ``take_tokens`` is the part of it inside the budget, so the takes of a leaf add up to its budget.
     Documents without tokens take 0. Order: md5 of seed, epoch and id, then id; repeated rows are rows of their
-    own; a null id is ordered as an empty one. Other columns are ignored; an empty table gives an empty result.
+    own; a null id is ordered as an empty one. Other columns are ignored; an empty table gives an empty result. ``row`` tells rows apart and orders them where ids repeat.
     """
     named = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    rows = docs.select(F.col("doc_id").cast("long"), named(domain).alias("domain"), named(F.col("lang")).alias("lang"),
+    own = [] if row is None else ["row"]
+    rows = docs.select(F.col("doc_id").cast("long"), *([] if row is None else [row.alias("row")]), named(domain).alias("domain"), named(F.col("lang")).alias("lang"),
                        named(F.col("source")).alias("source"), (word_count() if tokens is None else tokens).alias("n_tokens"))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, share, epochs)
@@ -79,7 +88,24 @@ def select_mix(docs: DataFrame, domain: Column, weights: dict[str, Column], shar
     bounds = slots.withColumn("low", F.coalesce(F.sum("sum").over(past), F.lit(0))).join(budgets, LEVELS).select(
         *place, "slot", "low", (F.col("budget") - F.col("epoch") * F.col("tokens")).alias("left"))
     bounds = bounds.filter("low < left")
-    inner = Window.partitionBy(*place, "slot").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*place, "slot").orderBy("mark", "doc_id", *own).rowsBetween(Window.unboundedPreceding, -1)
     cut = drawn.join(bounds, [*place, "slot"]).withColumn("begin", F.col("low") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     return cut.filter("begin < left").select(
-        "doc_id", *LEVELS, "epoch", "n_tokens", F.least(F.col("n_tokens"), F.col("left") - F.col("begin")).alias("take_tokens"))
+        "doc_id", *LEVELS, "epoch", "n_tokens", F.least(F.col("n_tokens"), F.col("left") - F.col("begin")).alias("take_tokens"), *own)
+
+
+def mixed_documents(docs: DataFrame, domain: Column, weights: dict[str, Column], share: float, epochs: int, seed: int = 1) -> DataFrame:
+    """The selected documents with all columns of ``docs``, once per epoch that selects them, each cut to the words it may give.
+
+    Rows are numbered in a written table, so null and repeated ids and equal rows are rows of their own. A row that
+    starts inside the budget stays, without words too; the one in which the budget ends is cut behind its last
+    word inside it. A null text stays null.
+    """
+    at = "row"
+    while at in docs.columns:
+        at += "_"
+    rows = reliable(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    chosen = select_mix(rows, domain, weights, share, epochs, seed, row=F.col(at)).select(
+        F.col("row").alias(at), (F.col("take_tokens") < F.col("n_tokens")).alias("__cut"), F.col("take_tokens").alias("__take"))
+    text = F.when(F.col("__cut"), first_words("text", F.col("__take"))).otherwise(F.col("text"))
+    return rows.join(chosen, at).withColumn("text", text).select(*docs.columns)

@@ -49,7 +49,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, similarity=80)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, similarity=80).drop("row", "component")
 
 
 def source_number() -> F.Column:
@@ -81,7 +81,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code("embedding").alias("code"))
+    vectors = _table(spark, sf_dir, "embeddings")
+    code = hamming.sign_code("embedding", hamming.longest(vectors, "embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), code.alias("code"))
     return hamming.nearest(rows.filter("id % 20 = 0"), rows, k=10)
 
 

@@ -23,7 +23,6 @@ from watchfold.llm import words as W
 from watchfold.session import reliable
 
 U64 = W.U64
-KEY = ["d", "h"]
 # Windows of a node meet in one task up to this many occurrences (some 60 MB of rows).
 HOT = 200_000
 
@@ -60,19 +59,19 @@ class Run:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"),
-                       F.hash(F.col("text").cast("string")).alias("h"), F.col("doc_id").cast("long"),
+    """(d, doc_id, text): ``d`` is a 128-bit digest of id and text, so rows of null or repeated ids stay apart by text."""
+    return docs.select(W.row_key().alias("d"), F.col("doc_id").cast("long"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def occurrences(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """(d, h, i, at, node, edge, back): the anchors of every row in order, with the hashes of the words up to the next
+    """(d, i, at, node, edge, back): the anchors of every row in order, with the hashes of the words up to the next
     and from the last."""
 
     def run(batches):
         for batch in batches:
-            d, h = batch.column(0), batch.column(1)
-            data, offsets = W.text_buffers(batch.column(2))
+            d = batch.column(0)
+            data, offsets = W.text_buffers(batch.column(1))
             for a, b in W.runs_of_rows(offsets):
                 r = Run(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], window, k)
                 if not len(r.row):
@@ -87,23 +86,23 @@ def occurrences(rows: DataFrame, window: int, k: int) -> DataFrame:
                 i = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
                 source = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [d.take(source), h.take(source), pa.array(i.astype(np.int32)),
+                    [d.take(source), pa.array(i.astype(np.int32)),
                      pa.array((at - r.firsts[row]).astype(np.int32)), pa.array(r.nodes[at].view(np.int64)),
                      pa.array(edge.view(np.int64)), pa.array(back.view(np.int64))],
-                    ["d", "h", "i", "at", "node", "edge", "back"])
+                    ["d", "i", "at", "node", "edge", "back"])
 
-    return rows.select("d", "h", "text").mapInArrow(run, "d long, h int, i int, at int, node long, edge long, back long")
+    return rows.select("d", "text").mapInArrow(run, "d binary, i int, at int, node long, edge long, back long")
 
 
 def repeated_nodes(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """(d, h, nodes): per row its repeated anchors (i, at, parts, meets, hot); ``hot`` says that the node has more
+    """(d, nodes): per row its repeated anchors (i, at, parts, meets, hot); ``hot`` says that the node has more
     than ``HOT`` occurrences."""
     found = occurrences(rows, window, k)
     often = found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("e1"), F.max("edge").alias("e2"),
                                       F.min("back").alias("b1"), F.max("back").alias("b2")).filter("n > 1")
     often = often.selectExpr("node", "e1 <> e2 or e1 = 0 as parts", "b1 <> b2 or b1 = 0 as meets", f"n > {HOT} as hot")
-    placed = found.select(*KEY, "i", "at", "node").join(often, "node")
-    return placed.groupBy(*KEY).agg(F.collect_set(F.struct("i", "at", "parts", "meets", "hot")).alias("nodes"))
+    placed = found.select("d", "i", "at", "node").join(often, "node")
+    return placed.groupBy("d").agg(F.collect_set(F.struct("i", "at", "parts", "meets", "hot")).alias("nodes"))
 
 
 def _lists(column: pa.Array):
@@ -144,18 +143,18 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def open_windows(rows: DataFrame, nodes: DataFrame, window: int, k: int) -> DataFrame:
-    """(d, h, hot, node, low, windows): per repeated anchor the hashes of its consecutive windows from word ``low`` on
+    """(d, hot, node, low, windows): per repeated anchor the hashes of its consecutive windows from word ``low`` on
     that lie in no compacted span."""
 
     def run(batches):
         for batch in batches:
-            d, h = batch.column(0), batch.column(1)
-            data, offsets = W.text_buffers(batch.column(3))
+            d = batch.column(0)
+            data, offsets = W.text_buffers(batch.column(2))
             for a, b in W.runs_of_rows(offsets):
                 r = Run(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], window, k)
                 if not len(r.row):
                     continue
-                found = Nodes(batch.column(4), r.firsts, a, b, k, window)
+                found = Nodes(batch.column(3), r.firsts, a, b, k, window)
                 repeated, hot = np.zeros(len(r.words), dtype=bool), np.zeros(len(r.words), dtype=bool)
                 repeated[found.at], hot[found.at] = True, found.hot
                 inside = _covered(len(r.words), found.starts, found.ends - window + 1)
@@ -168,28 +167,28 @@ def open_windows(rows: DataFrame, nodes: DataFrame, window: int, k: int) -> Data
                 source = pa.array(row[first] + a)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(hashes))
                 yield pa.RecordBatch.from_arrays(
-                    [d.take(source), h.take(source), pa.array(hot[anchor[first]]), pa.array(r.nodes[anchor[first]].view(np.int64)),
-                     pa.array((at[first] - r.firsts[row[first]]).astype(np.int32)), lists], ["d", "h", "hot", "node", "low", "windows"])
+                    [d.take(source), pa.array(hot[anchor[first]]), pa.array(r.nodes[anchor[first]].view(np.int64)),
+                     pa.array((at[first] - r.firsts[row[first]]).astype(np.int32)), lists], ["d", "hot", "node", "low", "windows"])
 
     # The same columns of ``rows`` as in the last join, so that its shuffle of the texts is reused.
-    joined = rows.join(nodes, KEY).select(*KEY, "doc_id", "text", "nodes")
-    return joined.mapInArrow(run, "d long, h int, hot boolean, node long, low int, windows array<long>")
+    joined = rows.join(nodes, "d").select("d", "doc_id", "text", "nodes")
+    return joined.mapInArrow(run, "d binary, hot boolean, node long, low int, windows array<long>")
 
 
 def repeated_windows(asked: DataFrame) -> DataFrame:
-    """(d, h, windows): start words of the windows of ``asked`` that occur at least twice.
+    """(d, windows): start words of the windows of ``asked`` that occur at least twice.
 
     Windows of one node meet in one partition and are counted there. Those of hot nodes, which might fill
     a task, are counted before and after the shuffle, and the counts are joined back.
     """
-    flat = ["d", "h", "node", (F.col("low") + F.col("j")).alias("at"), "w"]
-    cold = asked.filter("not hot").repartition("node").select("d", "h", "node", "low", F.posexplode("windows").alias("j", "w")).select(*flat)
+    flat = ["d", "node", (F.col("low") + F.col("j")).alias("at"), "w"]
+    cold = asked.filter("not hot").repartition("node").select("d", "node", "low", F.posexplode("windows").alias("j", "w")).select(*flat)
     counted = cold.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node", "w"))).filter("n > 1")
-    per_node = counted.groupBy("node", *KEY).agg(F.collect_set("at").alias("at"))
-    hot = asked.filter("hot").select("d", "h", "node", "low", F.posexplode("windows").alias("j", "w")).select(*flat)
+    per_node = counted.groupBy("node", "d").agg(F.collect_set("at").alias("at"))
+    hot = asked.filter("hot").select("d", "node", "low", F.posexplode("windows").alias("j", "w")).select(*flat)
     twice = hot.groupBy("node", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", "w")
-    again = hot.join(twice, ["node", "w"]).groupBy("node", *KEY).agg(F.collect_set("at").alias("at"))
-    return per_node.union(again).groupBy(*KEY).agg(F.flatten(F.collect_list("at")).alias("windows"))
+    again = hot.join(twice, ["node", "w"]).groupBy("node", "d").agg(F.collect_set("at").alias("at"))
+    return per_node.union(again).groupBy("d").agg(F.flatten(F.collect_list("at")).alias("windows"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -208,13 +207,13 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(2)
-            data, offsets = W.text_buffers(batch.column(3))
+            ids = batch.column(1)
+            data, offsets = W.text_buffers(batch.column(2))
             for a, b in W.runs_of_rows(offsets):
                 part = data[offsets[a]:offsets[b]]
                 starts, ends, firsts = W.find_words(part, offsets[a:b + 1] - offsets[a])
-                found = Nodes(batch.column(4), firsts, a, b, k, window)
-                at = _ints(batch.column(5), firsts, a, b)
+                found = Nodes(batch.column(3), firsts, a, b, k, window)
+                at = _ints(batch.column(4), firsts, a, b)
                 gone = _covered(len(starts), np.concatenate([found.starts, at]), np.concatenate([found.ends, at + window]))
                 n = np.diff(firsts)
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[firsts])
@@ -227,5 +226,5 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     [ids.slice(a, b - a), pa.array(n), pa.array(removed), pa.array(texts, pa.binary()).cast(pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    whole = rows.join(nodes, KEY, "left").join(again, KEY, "left").select(*KEY, "doc_id", "text", "nodes", "windows")
+    whole = rows.join(nodes, "d", "left").join(again, "d", "left").select("d", "doc_id", "text", "nodes", "windows")
     return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,6 +25,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128-bit digest of a row's id and text, nulls told apart from empty values."""
+    number = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(number, F.when(F.col(text).isNull(), ".").otherwise(":"),
+                                  F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")))
+
+
 def worker_store() -> types.ModuleType:
     """A place that lives as long as the Python worker, so that tasks share tables and caches."""
     return sys.modules.setdefault("_watchfold_worker_store", types.ModuleType("_watchfold_worker_store"))
