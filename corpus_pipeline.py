@@ -17,8 +17,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    found = minhash.near_duplicates(docs, width=5, similarity=80)
-    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.keep_one(docs, width=5, similarity=80)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +26,8 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights select, in one epoch over 80 % of the words."""
-    chosen = mixing.select_mix(docs, queries.mix_domain(), queries.mix_weights(), share=0.8, epochs=1)
-    return docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The documents that the target weights select, in one epoch over 80 % of the words; the last of a source is cut."""
+    return mixing.mixed_documents(docs, queries.mix_domain(), queries.mix_weights(), share=0.8, epochs=1)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
