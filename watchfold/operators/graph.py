@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_label
 from .normalize_cloud import lookup
+from .ranks import ordered_parts, running
 
 # Role -> node style, fixed values.
 ROLE_STYLES = {
@@ -76,6 +77,31 @@ def edge_counts(entities: DataFrame) -> DataFrame:
     return per.withColumn("edges", F.col("sources") * F.col("targets")).filter("edges > 0")
 
 
+def edge_page(entities: DataFrame, first: int, size: int, parts: int = 8) -> DataFrame:
+    """(number, incident_id, edge, from_position, to_position): edges ``first`` to ``first + size - 1`` of all incidents.
+
+    Edges are numbered by incident, class, source and target position, without being formed: running sums of the
+    edge counts find the at most ``size`` groups of the page, and the number inside a group of s x t edges gives the
+    ranks of its two ends (quotient and remainder by t). Ranks are running counts over parts of equal size,
+    so one incident may hold most entities.
+    """
+    group = ["incident_id", "edge"]
+    counted = ordered_parts(edge_counts(entities), [], group, parts, "edge_counts")
+    total = running(counted, [], group, {"upto": F.col("edges")}).withColumn("start", F.col("upto") - F.col("edges"))
+    last = first + size
+    hit = total.filter((F.col("start") < last) & (F.col("upto") > first))
+    numbers = F.sequence(F.greatest("start", F.lit(first)), F.least("upto", F.lit(last)) - 1)
+    wanted = hit.select(*group, "targets", "start", F.explode(numbers).alias("number")).withColumn("k", F.col("number") - F.col("start"))
+    wanted = wanted.select(*group, "number", F.expr("k div targets + 1").alias("from_rank"), (F.col("k") % F.col("targets") + 1).alias("to_rank"))
+    sides = edge_sides(entities).join(hit.select(*group), group, "left_semi")
+    ranked = running(ordered_parts(sides, [*group, "side"], ["position"], parts, "edge_sides"), [*group, "side"], ["position"],
+                     {"rank": F.lit(1)})
+    for side in ("from", "to"):
+        ends = ranked.filter(F.col("side") == side).select(*group, F.col("rank").alias(f"{side}_rank"), F.col("position").alias(f"{side}_position"))
+        wanted = wanted.join(ends, [*group, f"{side}_rank"])
+    return wanted.select("number", *group, "from_position", "to_position")
+
+
 def incident_edges(entities: DataFrame, incident_id: str, technique: str = "Unknown", tactic: str = "Unknown") -> DataFrame:
     """The edges of one incident, for drawing it."""
     nodes = graph_nodes(entities.filter(F.col("incident_id") == incident_id))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import dashboards as D
 from ..operators import incidents as I
 from ..operators import ledger as L
+from ..operators import rollups as R
 from ..operators.evaluation import percentiles
 from ..session import reliable, shared_dir
 from ..sources.rules import load_rules
@@ -320,6 +321,26 @@ def call_stats(spark, sf):
     return p.withColumn("cost_per_1000", money)
 
 
+def latency_rollup(spark, sf):
+    """Median and 95th percentile of a month from day sketches, and whether their ranks are within the stated error."""
+    calls, points = call_log(spark, sf), {"p50": 0.5, "p95": 0.95}
+    months = R.merged(R.slots(calls, "called_at", "latency_ms", "id", "day"), "day", "month")
+    found = months.select("slot", *[R.quantile(p).alias(c) for c, p in points.items()])
+    errors = R.rank_errors(calls, "called_at", "latency_ms", "month", found, points)
+    return errors.select(F.date_format("slot", "yyyy-MM").alias("month"), "n", *[
+        (F.col(c) <= R.KLL_ERROR).alias(f"{c}_within") for c in points])
+
+
+def address_rollup(spark, sf):
+    """Distinct addresses of a year from day sketches, and whether they are within the stated error of the exact number."""
+    alerts = alert_table(spark, sf).select("created_at", "anomaly_score", "entity.ip")
+    years = R.merged(R.slots(alerts, "created_at", "anomaly_score", "ip", "day"), "day", "year")
+    exact = alerts.groupBy(F.date_trunc("year", "created_at").alias("slot")).agg(F.count_distinct("ip").alias("addresses"))
+    off = F.abs(R.distinct() - F.col("addresses"))
+    return years.join(exact, "slot").select(F.date_format("slot", "yyyy").alias("year"), "n", "addresses",
+                                            (off <= R.HLL_ERROR * F.col("addresses")).alias("within"))
+
+
 def registry(spark, sf):
     return D.entity_registry(security_events(spark, sf)).select("type", "value", us("first_seen"), us("last_seen"))
 
@@ -354,7 +375,8 @@ QUERIES = {
     "score_histogram_fixed": histogram_edges, "alerts_per_day": daily, "alert_volume_week": weekly_volume,
     "events_per_minute": minutely, "technique_heat": heat, "technique_parents": parents,
     "technique_matrix": matrix, "navigator_layer": layer, "score_colours": colours, "age_labels": ages,
-    "call_cost_per_day": cost, "call_latency_and_cost": call_stats, "entity_registry": registry,
+    "call_cost_per_day": cost, "call_latency_and_cost": call_stats, "latency_rollup": latency_rollup, "distinct_addresses_rollup": address_rollup,
+    "entity_registry": registry,
     "incident_sizes": incident_sizes, "rule_techniques": rule_techniques,
 }
 
@@ -515,6 +537,11 @@ ORACLES = {
         r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM c)
         SELECT min(v) FILTER (i >= 0.5 * n) AS p50, min(v) FILTER (i >= 0.95 * n) AS p95,
           (SELECT round(sum(cost) / 1e9 / sum(size) * 1000, 6) FROM c) AS cost_per_1000 FROM r""",
+    "latency_rollup": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, true AS p50_within, true AS p95_within
+        FROM orders GROUP BY 1""",
+    "distinct_addresses_rollup": f"""{IA} SELECT strftime(make_timestamp(created_at), '%Y') AS year, count(*) AS n,
+        count(DISTINCT concat(l_suppkey % 200, '-', l_linenumber)) AS addresses,
+        true AS within FROM al GROUP BY 1""",
     "entity_registry": f"""WITH {EV}, x AS (SELECT 'ip' AS type, src_ip AS value, us FROM e UNION ALL SELECT 'host', host_name, us FROM e
           UNION ALL SELECT 'user', user_name, us FROM e)
         SELECT type, value, min(us) AS first_seen, max(us) AS last_seen FROM x WHERE value <> '' GROUP BY ALL""",

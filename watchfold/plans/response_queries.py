@@ -116,6 +116,11 @@ def edges(spark, sf):
     return G.edge_counts(entity_rows(spark, sf))
 
 
+def edge_page(spark, sf):
+    """The third page of 500 edges."""
+    return G.edge_page(entity_rows(spark, sf), first=1000, size=500)
+
+
 def playbooks(spark, sf):
     from .driver_tables import incident_table
     return incident_table(spark, sf).select("id", G.playbook(F.coalesce("technique", F.lit(""))).alias("playbook"))
@@ -244,7 +249,7 @@ QUERIES = {
     "sanitized_logs": sanitized_logs, "sanitized_html": sanitized_html, "sanitized_labels": sanitized_labels,
     "safe_variables": safe_variables, "ioc_validation": ioc_split, "ioc_by_field": ioc_by_field,
     "ioc_variables": ioc_variables, "incident_indicators": indicators, "incident_indicators_any_role": indicators_any,
-    "graph_nodes": nodes, "graph_edge_sides": sides, "graph_edge_counts": edges, "playbook_choice": playbooks,
+    "graph_nodes": nodes, "graph_edge_sides": sides, "graph_edge_counts": edges, "graph_edge_page": edge_page, "playbook_choice": playbooks,
     "evidence_lines": evidence, "address_lookup": located, "address_lookup_both_families": located_both_families, "incident_sessions": session_query,
     "incident_session_members": session_members, "score_history": history, "incident_timeline": timeline,
     "score_blend": blended, "confusion_and_rates": matrix_query, "roc_auc": auc_query,
@@ -335,6 +340,11 @@ ORACLES = {
     "graph_edge_counts": f"""{ENT}, s(edge, fr, tr) AS (VALUES ('attack', 'attacker', 'victim'), ('pivot', 'attacker', 'pivot'), ('lateral', 'pivot', 'victim'))
         SELECT a.incident_id, edge, count(DISTINCT a.position) AS sources, count(DISTINCT b.position) AS targets, count(*) AS edges
         FROM ent a JOIN s ON a.role = fr JOIN ent b ON b.incident_id = a.incident_id AND b.role = tr GROUP BY ALL""",
+    "graph_edge_page": f"""{ENT}, s(edge, fr, tr) AS (VALUES ('attack', 'attacker', 'victim'), ('pivot', 'attacker', 'pivot'), ('lateral', 'pivot', 'victim')),
+        numbered AS (SELECT row_number() OVER (ORDER BY a.incident_id, edge, a.position, b.position) - 1 AS number, a.incident_id, edge,
+          a.position AS from_position, b.position AS to_position
+          FROM ent a JOIN s ON a.role = fr JOIN ent b ON b.incident_id = a.incident_id AND b.role = tr)
+        SELECT * FROM numbered WHERE number BETWEEN 1000 AND 1499""",
     "playbook_choice": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_custkey % 10 = 9 THEN 'generic_block.yml' ELSE
         ['brute_force.yml','brute_force.yml','lateral_movement.yml','lateral_movement.yml','port_scan_block.yml','ddos_mitigation.yml',
          'data_exfil_egress_block.yml','impossible_travel_lockout.yml','scripting_interpreter_block.yml'][1 + o_custkey % 10] END AS playbook FROM orders""",
