@@ -3,12 +3,13 @@ shuffled input, and on one entity that holds most events."""
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from watchfold.operators.events import event_columns
-from watchfold.operators.features import busy_keys, extract_features, feature_rows
+from watchfold.operators.features import busy_keys, entity_features, extract_features, feature_rows, with_tod_zscore
 from watchfold.operators.ranks import first_of_each, ordered_parts, running
 from watchfold.schema import FEATURES
 from watchfold.streaming.feeds import run_available
@@ -178,3 +179,14 @@ def test_state_is_cleared_behind_the_watermark(spark, tmp_path):
         kept.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
     assert spark.read.parquet(f"{root}/out").count() == 120
     assert kept[-1] <= kept[0] * 1.5
+
+
+def test_large_tables_are_dealt_by_their_number_of_rows(spark):
+    """Small partitions are not joined up to Spark's target size, so a task's rows do not grow with the table."""
+    base = feature_rows(events(spark, random_rows(300, 9, 0.5)))
+    many = entity_features(with_tod_zscore(base, n_rows=3_000_000), base, n_rows=3_000_000)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(sec#\d+L, 12\), REPARTITION_BY_NUM", plan)
+    assert re.search(r"hashpartitioning\(entity#\d+, slot#\d+L, 36\), REPARTITION_BY_NUM", plan)
+    few = entity_features(with_tod_zscore(base), base)
+    assert sorted(many.select("id", *FEATURES).collect()) == sorted(few.select("id", *FEATURES).collect())
