@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from watchfold.operators.events import event_columns
 from watchfold.operators.features import busy_keys, entity_features, extract_features, feature_rows, with_tod_zscore
 from watchfold.operators.ranks import first_of_each, ordered_parts, running
 from watchfold.schema import FEATURES
+from watchfold.streaming import features as streaming
 from watchfold.streaming.feeds import run_available
 from watchfold.streaming.features import feature_stream
 
@@ -190,3 +193,17 @@ def test_large_tables_are_dealt_by_their_number_of_rows(spark):
     assert re.search(r"hashpartitioning\(entity#\d+, slot#\d+L, 36\), REPARTITION_BY_NUM", plan)
     few = entity_features(with_tod_zscore(base), base)
     assert sorted(many.select("id", *FEATURES).collect()) == sorted(few.select("id", *FEATURES).collect())
+
+
+def test_frames_that_leave_the_seconds_are_bounded(monkeypatch):
+    monkeypatch.setattr(streaming, "PIECE", 7)
+    us = [1_000_000 * (i // 4) + 50 - i for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"us": us, "tie": list(range(40))})
+    begins = pd.DataFrame({"rows": None, "sec": range(-1, 10), "j0": range(-1, 10), "r0": 1.0, "n0": 2.0, "d0": 3.0})
+    rows = pd.DataFrame({"rows": [streaming.pack(batch.slice(0, 25)), streaming.pack(batch.slice(25))]}).reindex(columns=begins.columns)
+    frames = list(streaming.Seconds(["us", "tie", "j", "j0"]).handleInputRows((0,), iter([begins, rows]), None))
+    assert [len(f) for f in frames] == [7, 7, 7, 7, 7, 5]
+    out = pd.concat(frames)
+    assert out["us"].tolist() == sorted(us)
+    assert out["j"].tolist() == [i % 4 + 1 for i in range(40)]
+    assert out["j0"].tolist() == [i // 4 for i in range(40)]
