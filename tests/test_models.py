@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchfold.operators import scoring
+from watchfold.operators import relational_models, scoring
 from watchfold.operators.autoencoder import LAYERS, adam, gradient, initial_weights, squared_errors, train_autoencoder, unpack
 from watchfold.operators.forest import anomaly, forest_arrays, train_forest, tree_samples
 from watchfold.operators.training import benign_only, scale_by, seeded_sample
@@ -119,3 +119,16 @@ def test_models_are_fitted_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(q, "flow_features", lambda flow: flows)
     q.flow_scores(spark, None)
     assert seen == [10_500, 50, 11_000, 11_000]
+
+
+def test_layers_of_a_given_autoencoder_are_generated_code(spark):
+    """Only the nine errors and their sum go through lambdas, not the products of the layers."""
+    weights, maxima = relational_models.given_weights(), dict.fromkeys(FEATURES, 2.0)
+    values = [[(7 * i + 3 * j) % 11 / 5 for j in range(9)] for i in range(20)]
+    rows = spark.createDataFrame([(str(i), *v) for i, v in enumerate(values)], "id string, " + ", ".join(f"{c} double" for c in FEATURES))
+    out = relational_models.reconstruct(rows, weights, maxima)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "transform(" not in plan
+    expected = squared_errors(np.array(values) / 2, weights)
+    got = {r.id: r.recon_errors for r in out.collect()}
+    assert np.allclose([got[str(i)] for i in range(20)], expected)
