@@ -102,6 +102,30 @@ def test_epochs_as_one_stage_and_as_single_jobs_agree(spark, normal, monkeypatch
     assert train_autoencoder(normal.limit(5), epochs=2, steps=3, batch=2) == pytest.approx(few, abs=1e-9)
 
 
+def test_a_step_is_one_job_without_waiting_tasks(normal, monkeypatch):
+    """A barrier stage waits about a second at each exchange; by default every step is a job of its own, of equal weights."""
+    from watchfold.operators import autoencoder as A
+    steps, whole = [], A.mean_gradient
+    monkeypatch.setattr(A, "mean_gradient", lambda rows, weights: steps.append(1) or whole(rows, weights))
+    jobs = train_autoencoder(normal, epochs=2, steps=3)
+    assert len(steps) == 6
+    assert train_autoencoder(normal, epochs=2, steps=3, one_stage=True) == pytest.approx(jobs, abs=1e-9)
+    assert len(steps) == 6 and whole(normal.limit(0).select(*FEATURES), jobs) is None
+
+
+def test_forest_scores_do_not_depend_on_blocks(normal, monkeypatch):
+    from watchfold.operators import forest as f
+    trees, x = forest_arrays(train_forest(normal, trees=20)), np.random.default_rng(3).uniform(size=(f.BLOCK + 7, 9))
+    x[5, 2] = np.nan
+    at = np.tile(trees["roots"], (len(x), 1))
+    for _ in range(int(trees["depth"])):
+        left = x[np.arange(len(x))[:, None], trees["feature"][at]] <= trees["threshold"][at]
+        at = np.where(left, trees["left"][at], trees["right"][at])
+    walked = np.power(2.0, -trees["path"][at].mean(axis=1) / trees["norm"][0])
+    assert np.array_equal(anomaly(x, trees), walked) and len(anomaly(x[:0], trees)) == 0
+    assert np.array_equal(np.concatenate([anomaly(row[None], trees) for row in x]), walked)
+
+
 def test_models_are_fitted_on_all_rows(spark, monkeypatch):
     from watchfold.plans import model_queries as q
     seen = []
