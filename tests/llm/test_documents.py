@@ -45,6 +45,19 @@ def test_components(spark, seed):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_end_with_the_round_that_leaves_stars(spark, monkeypatch):
+    """Rounds are many small tasks whose records the driver keeps: none is run to see that nothing changes."""
+    from watchfold.llm import components as c
+    tables, write = [], c.reliable
+    monkeypatch.setattr(c, "reliable", lambda df, name: tables.append(df) or write(df, name))
+    path = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 3), (None, 1), (8, 7)], "a long, b long")
+    assert sorted(map(tuple, components(path).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert len(tables) == 2 and tables[-1]._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 5
+    edges = lambda *rows: spark.createDataFrame(rows, "hi long, lo long")
+    assert c._stars(edges((2, 1), (3, 1), (5, 4))) and c._stars(edges((2, 1)).limit(0))
+    assert not c._stars(edges((2, 1), (3, 2))) and not c._stars(edges((3, 1), (3, 2)))
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
